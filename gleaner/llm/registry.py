@@ -5,6 +5,8 @@ from __future__ import annotations
 from gleaner.llm import queries_dedup as dedup
 
 QUERIES = {
+    "op3_minhash": dedup.op3_minhash,
+    "op6_decontamination": dedup.op6_decontamination,
     "op10_suffix_dedup": dedup.op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
