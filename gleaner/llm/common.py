@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows in an Arrow batch: whole texts come in batches of a few MB, a very long text counts alone.
 BATCH_ROWS = 256
@@ -65,6 +66,11 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def wider(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of df with more columns; df's own stays as it is."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in columns.items())])
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from gleaner.llm import queries_dedup as dedup
+from gleaner.llm import queries_models as models
 
 QUERIES = {
+    "op1_html_extraction": models.op1_html_extraction,
+    "op2_language_id": models.op2_language_id,
     "op3_minhash": dedup.op3_minhash,
     "op6_decontamination": dedup.op6_decontamination,
+    "op9_quality": models.op9_quality,
     "op10_suffix_dedup": dedup.op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

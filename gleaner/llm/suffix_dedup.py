@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import key, mix, small_batches, stage, utf8
+from gleaner.llm.common import key, mix, small_batches, stage, utf8, wider
 
 #: Length of a repeated string, and of the anchors in it.
 WINDOW, GRAM = 100, 32
@@ -283,9 +283,8 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     A null text stays null.
     """
     packed, places = _spans(docs)
-    schema = docs.schema.add("_tie", "int")
     changed = packed.join(places, ["doc", "tie"]).mapInArrow(_texts, "doc long, tie int, text string").withColumnsRenamed({"doc": "_doc", "tie": "_with", "text": "_text"}).dropDuplicates(["_doc", "_with"])
-    base = docs.mapInArrow(_key_only, schema)
+    base = docs.mapInArrow(_key_only, wider(docs, _tie="int"))
     out = base.join(changed, (key(base["doc_id"]) == F.col("_doc")) & (F.col("_tie") == F.col("_with")), "left")
     text = F.coalesce(F.col("_text"), base["text"])
     new = {"text": text, **({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
