@@ -28,37 +28,40 @@ from gleaner.llm.common import NULL_ID, SIMILAR_PERCENT, components, is_empty, k
 from gleaner.llm.shingles import shingle_sets
 
 PERMUTATIONS, ROWS, BANDS = 120, 5, 48
-#: Residual pairs are listed at once where there are at most this many for a document; else one more pivot is taken first.
+#: Pairs of classes that are not yet connected are listed at once where there are at most this many for
+#: a document; else one more pivot is taken first. Pairs within the largest component of a bucket are
+#: never listed.
 PAIRS_A_DOCUMENT = 4
-_CHUNK = 4096
+_CHUNK, _AT_ONCE = 4096, 24
 
 
-def _multipliers(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64), np.full(n, 7, np.uint64)) | np.uint64(1)
+def _constants(salt: int) -> np.ndarray:
+    return (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64), np.full(PERMUTATIONS, salt, np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-_A, _X = _multipliers(PERMUTATIONS), mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64), np.full(PERMUTATIONS, 11, np.uint64))
+_A, _X = _constants(7)[:, None] | np.uint32(1), _constants(11)[:, None]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima under all permutations, then maxima."""
-    least = np.full(PERMUTATIONS, 2**64 - 1, np.uint64)
-    most = np.zeros(PERMUTATIONS, np.uint64)
+    """Minima under all permutations, then maxima. A permutation multiplies the upper half of a shingle's hash."""
+    least, most = np.full(PERMUTATIONS, 2**32 - 1, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
     for s in range(0, len(shingles), _CHUNK):
-        part = shingles[s : s + _CHUNK]
-        for k in range(0, PERMUTATIONS, 8):
-            h = (part[None, :] ^ _X[k : k + 8, None]) * _A[k : k + 8, None]
-            np.minimum(least[k : k + 8], h.min(axis=1), out=least[k : k + 8])
-            np.maximum(most[k : k + 8], h.max(axis=1), out=most[k : k + 8])
+        part = (shingles[s : s + _CHUNK] >> np.uint64(32)).astype(np.uint32)
+        for k in range(0, PERMUTATIONS, _AT_ONCE):
+            few = slice(k, k + _AT_ONCE)
+            h = part ^ _X[few]
+            h *= _A[few]
+            np.minimum(least[few], h.min(axis=1), out=least[few])
+            np.maximum(most[few], h.max(axis=1), out=most[few])
     return np.concatenate([least, most])
 
 
 def bands(values: np.ndarray) -> np.ndarray:
-    """A key for each band; band k holds the values k, k + BANDS, k + 2 * BANDS and so on."""
-    rows = values.reshape(ROWS, BANDS)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for row in rows:
-        out = mix(out, row)
+    """A key for each band of each signature; band k holds the values k, k + BANDS, k + 2 * BANDS and so on."""
+    rows = values.astype(np.uint64).reshape(-1, ROWS, BANDS)
+    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(rows), BANDS))
+    for k in range(ROWS):
+        out = mix(out, rows[:, k])
     return out
 
 
@@ -66,17 +69,19 @@ _SIGNED = "doc long, doc_id long, n_shingles long, d1 long, d2 long, bands array
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    one, two = np.uint64(3), np.uint64(5)
     for batch in batches:
-        sizes, d1, d2, keys = [], [], [], []
-        for s in shingle_sets(*utf8(batch.column(1))):
-            sizes.append(len(s))
-            d1.append(mix(s, np.full(len(s), one)).sum(dtype=np.uint64))
-            d2.append(mix(s, np.full(len(s), two)).sum(dtype=np.uint64))
-            keys.append(bands(signature(s)).view(np.int64) if len(s) else np.zeros(0, np.int64))
-        offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        sets = shingle_sets(*utf8(batch.column(1)))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        some = [s for s in sets if len(s)]
+        digests, keys = np.zeros((2, len(sets)), np.uint64), np.zeros((0, BANDS), np.uint64)
+        if some:
+            every, starts = np.concatenate(some), np.cumsum([0, *(len(s) for s in some[:-1])])
+            for k in (0, 1):
+                digests[k, sizes > 0] = np.add.reduceat(mix(every, np.full(len(every), 3 + 2 * k, np.uint64)), starts)
+            keys = bands(np.stack([signature(s) for s in some]))
+        offsets = np.r_[0, np.cumsum((sizes > 0) * BANDS)].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))],
+            [batch.column(0), batch.column(2), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
             names=["doc", "doc_id", "n_shingles", "d1", "d2", "bands"],
         )
 
@@ -156,15 +161,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = found if links is None else stage(links.union(found))
         joined = components(links)
         rest = stage(rest.select("bucket", "doc", "n").join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component")))
-        open_ = stage(rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x <> y").select("bucket", "m"))
+        parts = stage(rest.groupBy("bucket", "component").agg(F.count("*").alias("k")))
+        open_ = parts.groupBy("bucket").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("c"), F.max(F.struct("k", "component"))["component"].alias("main"))
+        open_ = stage(open_.where("c > 1").select("bucket", "main", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")))
         if is_empty(open_):
             break
         rest = stage(rest.join(open_, "bucket"))
         members = rest.select("bucket", "doc", "n")
-        if open_.agg(F.sum(F.expr("m * (m - 1) / 2"))).head()[0] <= PAIRS_A_DOCUMENT * size + 1000:
-            other = rest.select("bucket", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-            pairs = rest.join(other, "bucket").where("doc > pivot and component <> pc").where(fits)
-            found = _links(pairs.select(F.col("doc").alias("a"), F.col("pivot").alias("b")), source.select("doc", "text"))
+        if open_.agg(F.sum("pairs")).head()[0] <= PAIRS_A_DOCUMENT * size + 1000:
+            minor = rest.where("component <> main").select("bucket", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+            pairs = rest.join(minor, "bucket").where("component <> pc").where(fits)
+            found = _links(pairs.select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")), source.select("doc", "text"))
             joined = components(stage(links.union(found)))
             break
     of_class = stage(classes.join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("c")))

@@ -7,7 +7,7 @@ import numpy as np
 from gleaner.llm.common import SHINGLE_WORDS, mix
 
 _BASE = 0x5DEECE66D1F3A9B5 | 1
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16
 
 
 def _powers(n: int, base: int) -> np.ndarray:
