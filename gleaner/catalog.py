@@ -8,4 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "d41_load_all_jobs"
+FLAGSHIP = "recommendation_mart"
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, folder) under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from gleaner.plans import queries_core, queries_domain, queries_flow  # noqa: E402,F401
