@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -69,6 +70,14 @@ def checksum(df: DataFrame) -> DataFrame:
     return df.select(row.alias("row")).agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("row")), ""), 256).alias("checksum"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by reliable files; only where no folder is set, as in tests, in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gleaner-"))
+    return df.checkpoint()
+
+
 def first_of_two_keys(df: DataFrame, one: str, two: str, order: list[str]) -> DataFrame:
     """Rows in order, each skipped if an earlier kept row has its first or its second key (null keys match nothing).
 
@@ -80,10 +89,10 @@ def first_of_two_keys(df: DataFrame, one: str, two: str, order: list[str]) -> Da
     while True:
         first = left.withColumn("_a", F.min(here).over(Window.partitionBy(one))).withColumn("_b", F.min(here).over(Window.partitionBy(two)))
         wins = (F.col(one).isNull() | (F.col("_a") == here)) & (F.col(two).isNull() | (F.col("_b") == here))
-        chosen = first.where(wins).drop("_a", "_b").checkpoint()
+        chosen = _cut(first.where(wins).drop("_a", "_b"))
         if not chosen.take(1):
             return kept if kept is not None else df.limit(0)
         kept = chosen if kept is None else kept.unionByName(chosen)
         rest = left.join(chosen.select(*order), order, "left_anti")
         rest = rest.join(chosen.select(one).where(F.col(one).isNotNull()), one, "left_anti")
-        left = rest.join(chosen.select(two).where(F.col(two).isNotNull()), two, "left_anti").select(*df.columns).checkpoint()
+        left = _cut(rest.join(chosen.select(two).where(F.col(two).isNotNull()), two, "left_anti").select(*df.columns))

@@ -27,7 +27,7 @@ def spearman(df: DataFrame, x: str, y: str, within: list[str]) -> DataFrame:
     """Rank correlation in each group, null where either side is constant, kept to -1 to 1."""
     both = average_ranks(average_ranks(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, "_rx", within), y, "_ry", within)
     spread = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
-    return both.groupBy(*within).agg(F.count("*").cast("long").alias("n"), F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.corr("_rx", "_ry")))).alias("spearman"))
+    return both.groupBy(*within).agg(F.count("*").cast("long").alias("n"), F.when(spread, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))))).alias("spearman"))
 
 
 def confusion(df: DataFrame, truth: str, said: str, rows: list[str], columns: list[str]) -> DataFrame:

@@ -52,6 +52,8 @@ class _Text(HTMLParser):
     def handle_endtag(self, tag):
         if tag in ("script", "style", "noscript", "svg"):
             self.skip = max(0, self.skip - 1)
+        elif tag in ("p", "div", "li", "tr", "h1", "h2", "h3"):
+            self.parts.append("\n")
 
     def handle_data(self, data):
         if not self.skip:
