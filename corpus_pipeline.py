@@ -16,7 +16,7 @@ from gleaner.llm.common import stage, table
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it learns from the labels of these documents."""
     net = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, net).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.score(docs, net, "_quality").where(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

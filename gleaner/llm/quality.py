@@ -159,15 +159,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> GatedAttention:
     return net
 
 
-def score(docs: DataFrame, net: GatedAttention) -> DataFrame:
-    """docs with a column score, 0 to 1: the likelihood of a good document. Every text, empty and null
+def score(docs: DataFrame, net: GatedAttention, name: str = "score") -> DataFrame:
+    """docs with a column (replaced where there is one of that name), 0 to 1: the likelihood of a good document. Every text, empty and null
     ones too, has a score; all columns but text only pass through."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = net.scores(*passages(*utf8(batch.column("text")))) if len(batch) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
-    kept = docs.select(*[c for c in docs.columns if c.lower() != "score"])
-    return kept.mapInArrow(run, wider(kept, score="double"))
+    kept = docs.select(*[c for c in docs.columns if c.lower() != name])
+    return kept.mapInArrow(run, wider(kept, **{name: "double"}))
