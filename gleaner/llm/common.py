@@ -113,20 +113,19 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b) with a <> b: (id, component), component the smallest id reachable.
 
     Rounds of large-star and small-star: every edge of a node is turned to the smallest node it sees.
-    Each round is an aggregation with partial sums and a join that adaptive execution may split, and
-    ends in a staged table. Empty edges give an empty result.
+    A round is a chain of aggregations with partial sums and of joins that adaptive execution may split,
+    and ends in a staged table; the last round leaves a star for each component. Empty edges give an
+    empty result.
     """
-    now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     while True:
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stage(large.where("a <> b").distinct())
-        down = stage(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n"))
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(down, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        small = stage(small.select("e.a", "e.b").where("a <> b").distinct())
-        tops = small.groupBy("a").agg(F.count("*").alias("n"))
-        roots = small.select("b").distinct()
-        if is_empty(tops.where("n > 1").limit(1)) and is_empty(roots.join(tops.select(F.col("a").alias("b")), "b", "left_semi").limit(1)):
-            return small.select(F.col("a").alias("id"), F.col("b").alias("component")).union(small.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        now = small
+        now = stage(small.select("e.a", "e.b").where("a <> b").distinct())
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up")))).alias("e"))
+        ends = ends.groupBy("e.n").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("low"))
+        if is_empty(ends.where("up > 1 or up > 0 and low = 0")):
+            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -10,8 +10,10 @@ the 48 bands with one of 2e-6.
 
 Texts with equal shingle sets form a class first, and one document stands for it from there on. In a
 bucket every class is compared with one pivot, whole set against whole set, never all with all. Where
-a bucket then holds classes that are not yet connected, they are compared on, without the pivot, until
-each bucket is connected or all its pairs are tested. So no link is lost and no bucket is capped.
+a bucket then holds several components, classes go that can't be linked across: those with less than
+75 in 100 of their shingles in other components. Of the rest, those outside their bucket's largest
+component are a query set that meets all others in blocks, by an index of their shingles; only links come
+out of that. So no link is lost and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ from gleaner.llm.common import NULL_ID, SIMILAR_PERCENT, components, is_empty, k
 from gleaner.llm.shingles import shingle_sets
 
 PERMUTATIONS, ROWS, BANDS = 120, 5, 48
-#: Pairs of classes that are not yet connected are listed at once where there are at most this many for
-#: a document; else one more pivot is taken first. Pairs within the largest component of a bucket are
-#: never listed.
-PAIRS_A_DOCUMENT = 4
+#: Shingles of open classes that meet all others at once, and the number of such blocks up to which they
+#: do; where there are more, another pivot is taken first.
+BLOCK, BLOCKS = 500_000, 8
 _CHUNK, _AT_ONCE = 4096, 24
 
 
@@ -122,16 +123,90 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, source: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
-    pairs = stage(pairs.distinct())
-    ids = stage(pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct())
-    texts = stage(source.mapInArrow(_packed, "doc long, packed binary").join(ids, "doc", "left_semi").dropDuplicates(["doc"]))
     of_a, of_b = texts.withColumnsRenamed({"doc": "a", "packed": "packed_a"}), texts.withColumnsRenamed({"doc": "b", "packed": "packed_b"})
-    rows = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "packed_a", "packed_b").sortWithinPartitions("b")
+    rows = pairs.distinct().join(of_a, "a").join(of_b, "b").select("a", "b", "packed_a", "packed_b").sortWithinPartitions("b")
     return stage(rows.mapInArrow(_confirmed, "a long, b long"))
 
 
+def _open(rest: DataFrame) -> DataFrame:
+    """The rows (bucket, doc, n, component) of buckets with several components, with the largest one as main."""
+    parts = rest.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    several = parts.groupBy("bucket").agg(F.count("*").alias("c"), F.max(F.struct("k", "component"))["component"].alias("main"))
+    return stage(rest.join(several.where("c > 1").select("bucket", "main"), "bucket"))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts = [unpack.decompress(x) for x in batch.column("packed").to_pylist()]
+        sets = shingle_sets(np.frombuffer(b"".join(texts) + bytes(512), np.uint8), np.cumsum([0, *map(len, texts)]))
+        offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("component"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))], names=["doc", "component", "shingles"])
+
+
+def _able(sets: DataFrame) -> DataFrame:
+    """The documents of sets that can be linked to another component: at least 75 in 100 of their shingles
+    occur in a document of another component. For all others no such link can exist."""
+    common = sets.select("component", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("s")
+    hits = sets.select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).join(stage(common), "s", "left_semi")
+    return stage(hits.groupBy("doc").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"100 * k >= {SIMILAR_PERCENT} * n").select("doc"))
+
+
+class _Index:
+    """Which queries hold a shingle, for a block of queries."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
+        self.docs, self.components = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        self.sizes = np.array([len(r[2]) for r in rows], np.int64)
+        every, owner = np.concatenate([r[2] for r in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.keys, self.first = np.unique(every[order], return_index=True)
+        self.last = np.r_[self.first[1:], len(every)]
+
+    def links(self, doc: int, component: int, shingles: np.ndarray) -> np.ndarray:
+        """The queries of other components that are similar enough to a set."""
+        at = np.searchsorted(self.keys, shingles)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == shingles]
+        n = self.last[at] - self.first[at]
+        places = np.repeat(self.first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(at) else at
+        both = np.bincount(self.owner[places], minlength=len(self.docs))
+        good = (both > 0) & ((100 + SIMILAR_PERCENT) * both >= SIMILAR_PERCENT * (self.sizes + len(shingles)))
+        return np.flatnonzero(good & (self.components != component) & (self.docs != doc))
+
+
+def _found(queries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of queries to sets of other components, one for a query, a component and a batch. Queries come
+    in blocks of bounded size, and each block meets all sets."""
+
+    def against(index: _Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                docs, parts, pairs = batch.column("doc").to_pylist(), batch.column("component").to_pylist(), {}
+                for k, shingles in enumerate(batch.column("shingles")):
+                    for q in index.links(docs[k], parts[k], np.asarray(shingles.values)):
+                        pairs.setdefault((int(q), parts[k]), (int(index.docs[q]), docs[k]))
+                a, b = zip(*pairs.values()) if pairs else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        return sets.mapInArrow(run, "a long, b long")
+
+    out, rows, size = None, [], 0
+    for r in queries.toLocalIterator():
+        rows.append((r["doc"], r["component"], np.array(r["shingles"], np.int64)))
+        size += len(r["shingles"])
+        if size >= BLOCK:
+            more = stage(against(_Index(rows)))
+            out, rows, size = more if out is None else out.union(more), [], 0
+    if rows:
+        more = stage(against(_Index(rows)))
+        out = more if out is None else out.union(more)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Near-duplicate components of docs (doc_id, text, ...).
 
@@ -151,27 +226,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = chosen.select(F.explode("bands").alias("bucket"), "doc", "n").distinct()
     shared = stage(members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
     members = stage(members.join(shared, "bucket", "left_semi"))
-    size = max(signed.count(), 1)
+    ids = stage(members.select("doc").distinct())
+    texts = stage(source.select("doc", "text").mapInArrow(_packed, "doc long, packed binary").join(ids, "doc", "left_semi").dropDuplicates(["doc"]))
     fits = f"100 * least(n, pn) >= {SIMILAR_PERCENT} * greatest(n, pn)"
     links = None
     while True:
         pivots = stage(members.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("p")).select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn")))
         rest = members.join(pivots, "bucket").where("doc <> pivot")
-        found = _links(rest.where(fits).select(F.col("doc").alias("a"), F.col("pivot").alias("b")), source.select("doc", "text"))
-        links = found if links is None else stage(links.union(found))
+        found = _links(rest.where(fits).select(F.col("doc").alias("a"), F.col("pivot").alias("b")), texts)
+        links = found if links is None else links.union(found)
         joined = components(links)
-        rest = stage(rest.select("bucket", "doc", "n").join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component")))
-        parts = stage(rest.groupBy("bucket", "component").agg(F.count("*").alias("k")))
-        open_ = parts.groupBy("bucket").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("c"), F.max(F.struct("k", "component"))["component"].alias("main"))
-        open_ = stage(open_.where("c > 1").select("bucket", "main", ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("pairs")))
-        if is_empty(open_):
+        links = joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        rest = rest.select("bucket", "doc", "n").join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
+        rest = _open(stage(rest))
+        if is_empty(rest):
+            break
+        docs = stage(rest.select("doc", "component").distinct())
+        sets = stage(texts.join(docs, "doc").select("doc", "component", "packed").mapInArrow(_sets, "doc long, component long, shingles array<long>"))
+        rest = _open(stage(rest.drop("main").join(_able(sets), "doc", "left_semi")))
+        if is_empty(rest):
             break
-        rest = stage(rest.join(open_, "bucket"))
         members = rest.select("bucket", "doc", "n")
-        if open_.agg(F.sum("pairs")).head()[0] <= PAIRS_A_DOCUMENT * size + 1000:
-            minor = rest.where("component <> main").select("bucket", F.col("doc").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-            pairs = rest.join(minor, "bucket").where("component <> pc").where(fits)
-            found = _links(pairs.select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")), source.select("doc", "text"))
+        queries = stage(sets.join(rest.where("component <> main").select("doc").distinct(), "doc", "left_semi"))
+        if (queries.agg(F.sum(F.size("shingles"))).head()[0] or 0) <= BLOCKS * BLOCK:
+            found = _found(queries, stage(sets.join(rest.select("doc").distinct(), "doc", "left_semi")))
             joined = components(stage(links.union(found)))
             break
     of_class = stage(classes.join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("c")))

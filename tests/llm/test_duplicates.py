@@ -1,5 +1,7 @@
 """Near duplicates, repeated strings and benchmark copies against plain versions."""
 
+import random
+
 import numpy as np
 import pytest
 from cases import SCHEMA, components, documents, frame, prose, removed
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gleaner.llm.decontamination import align, leaks, without_leaks
-from gleaner.llm.minhash import near_duplicates, one_of_each, similar
+from gleaner.llm.minhash import _Index, near_duplicates, one_of_each, similar
 from gleaner.llm.shingles import shingle_sets, words
 from gleaner.llm.suffix_dedup import remove_repeated, repeated_spans
 
@@ -66,6 +68,32 @@ def test_components_that_a_pivot_does_not_see(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()} == want
 
 
+def test_index_finds_the_links_of_a_block():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, 40)) for _ in range(30)]
+    index = _Index([(k, k % 3, s) for k, s in enumerate(sets)])
+    for k, s in enumerate(sets):
+        want = [j for j, t in enumerate(sets) if j % 3 != k % 3 and similar(s.astype(np.uint64), t.astype(np.uint64))]
+        assert index.links(k, k % 3, s).tolist() == want
+    assert index.links(99, 9, np.array([1000])).tolist() == []
+
+
+def test_links_far_from_every_pivot(spark):
+    """Copies of one text with so many edits that most are far from it and each other; some are near in pairs."""
+    base, r, rows = prose(8, 150).split(), random.Random(6), [(0, prose(8, 150))]
+    for k in range(1, 50):
+        words = list(base)
+        for at in r.sample(range(150), r.choice([2, 5, 7, 9])):
+            words[at] = f"new{k}x{at}"
+        rows.append((2 * k, " ".join(words)))
+        words[r.randrange(150)] = "other"
+        rows.append((2 * k + 1, " ".join(words)))
+    rows = [(k, t, "en", "s", 1, "", "", 0) for k, t in rows]
+    want = components(rows)
+    assert len({c for _, c in want.values()}) > 5
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(frame(spark, rows)).collect()} == want
+
+
 def test_one_of_each_keeps_columns(spark):
     docs = frame(spark)
     kept = one_of_each(docs)
