@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import key, small_batches, utf8
+from gleaner.llm.common import key, small_batches, stage, utf8
 from gleaner.llm.shingles import LOOSE, grams, words
 
 SEED_WORDS, RARE = 3, 1e-6
@@ -193,5 +193,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_column: str = "doc_id") ->
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a test item; a null doc_id is judged as one document."""
-    found = leaks(docs, benchmark).select(key(F.col("doc_id")).alias("_leak")).distinct()
+    found = stage(leaks(docs, benchmark).select(key(F.col("doc_id")).alias("_leak")).distinct())
     return docs.join(found, key(docs["doc_id"]) == F.col("_leak"), "left_anti")
