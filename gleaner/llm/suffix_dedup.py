@@ -159,30 +159,48 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield k, np.frombuffer(text + bytes(512), np.uint8)
 
 
+def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a batch's texts in one array, with spare ones, and where each begins."""
+    unpack = zstandard.ZstdDecompressor()
+    texts = [unpack.decompress(packed) for packed in batch.column("packed").to_pylist()]
+    return np.frombuffer(b"".join(texts) + bytes(512), np.uint8), np.cumsum([0, *map(len, texts)])[:-1]
+
+
+def _numbered(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0 for each of the first length, 1 for the next, ...; and the count within each."""
+    each = np.repeat(np.arange(len(lengths)), lengths)
+    return each, np.arange(len(each)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
 def _finer(level: int):
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, tie, places = np.asarray(batch.column("doc")), np.asarray(batch.column("tie")), batch.column("places")
-            for k, data in _unpacked(batch):
-                place = np.sort(np.asarray(places[k].values))
-                lo, n, before = place >> _LO & 0xFFFFFFFF, place >> _N & 127, place & 127
-                x = lo + before
-                g = _Grams(data)
+            if not len(batch):
+                continue
+            data, begins = _joined(batch)
+            places = batch.column("places")
+            text = np.repeat(np.arange(len(batch)), np.diff(np.asarray(places.offsets)))
+            place = np.asarray(places.flatten())
+            for s in range(0, len(place), _BLOCK):
+                some = place[s : s + _BLOCK]
+                lo, n, before = (some >> _LO & 0xFFFFFFFF) + begins[text[s : s + _BLOCK]], some >> _N & 127, some & 127
+                x, g = lo + before, _Grams(data)
                 if level == 1:
-                    first, last = (before - n + 1) // _PIECE, before // _PIECE
-                    each = np.repeat(np.arange(len(lo)), last - first + 1)
-                    part = np.arange(len(each)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[each]
+                    first = (before - n + 1) // _PIECE
+                    each, part = _numbered(before // _PIECE - first + 1)
+                    part += first[each]
                     x = x[each]
                     a = np.maximum(lo[each], x - part * _PIECE - (_PIECE - 1))
                     b = np.minimum((lo + n - 1)[each], x - part * _PIECE)
                     core, whole = mix(g.of93(x - part * _PIECE), part.astype(np.uint64)), _whole(g, a, b, x)
                 else:
-                    each = np.repeat(np.arange(len(lo)), n)
-                    a = b = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    each, step = _numbered(n)
+                    a = b = lo[each] + step
                     x = x[each]
                     core, whole = g.window(a), g.other(a)
-                place = np.int64(tie[k]) << _TIE | a << _LO | (b - a + 1) << _N | (x - a)
-                yield _batch(core, whole, np.full(len(a), doc[k], np.int64), place)
+                number = text[s : s + _BLOCK][each]
+                at = np.asarray(batch.column("tie")).astype(np.int64)[number] << _TIE | (a - begins[number]) << _LO | (b - a + 1) << _N | (x - a)
+                yield _batch(core, whole, np.asarray(batch.column("doc"))[number], at)
 
     return units
 
