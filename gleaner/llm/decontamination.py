@@ -32,6 +32,7 @@ LEAST_SCORE, LEAST_WORDS = 0.5, 8
 BLOCK_BYTES = 16 << 20
 
 _LEAK = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("matched_words", T.LongType()), T.StructField("begin_byte", T.LongType()), T.StructField("end_byte", T.LongType())])
+_TIED = T.StructType([*_LEAK.fields, T.StructField("tie", T.LongType())])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -137,17 +138,10 @@ def _passages(hashes: np.ndarray, seeds: dict, lengths: np.ndarray) -> Iterator[
         yield number, begin, end
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, doc_column: str = "doc_id") -> DataFrame:
-    """Copies of test items in docs (doc_id, text, ...); benchmark has item_id and text.
-
-    Result, one row for each document and item that it holds: doc_id, item_id, score (of the best
-    alignment, 1 for a whole copy), matched_words, begin_byte and end_byte of the aligned passage in
-    the UTF-8 text. Words are runs of letters and digits, A to Z as a to z. Documents and items without
-    a word, and items without an id, give no row. A null doc_id is kept as null. A repeated row of docs
-    gives repeated results, a repeated item counts once. Empty in, empty out.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, doc_column: str) -> DataFrame:
+    """The rows of leaks, each with the hash of its document's text."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col(doc_column).cast("long").alias("doc_id"), "text")
+    source = docs.select(F.col(doc_column).cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     results = []
     for block in _blocks(benchmark):
         vocabulary = np.unique(np.concatenate([w for _, w in block]))
@@ -177,21 +171,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_column: str = "doc_id") ->
                         item, share = block[number], score / (MATCH * lengths[number])
                         same = int(np.isin(hashes[since:upto], item[1]).sum())
                         if share >= LEAST_SCORE and same >= min(LEAST_WORDS, lengths[number]):
-                            rows.append((batch.column(0)[int(k)].as_py(), item[0], share, same, int(begin[since] - ends[k]), int(end[upto - 1] - ends[k])))
-                cols = list(zip(*rows)) if rows else [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=_LEAK.names)
+                            rows.append((batch.column(0)[int(k)].as_py(), item[0], share, same, int(begin[since] - ends[k]), int(end[upto - 1] - ends[k]), batch.column(2)[int(k)].as_py()))
+                cols = list(zip(*rows)) if rows else [()] * 7
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=_TIED.names)
 
-        results.append(source.mapInArrow(find, _LEAK))
+        results.append(source.mapInArrow(find, _TIED))
     if not results:
-        return docs.sparkSession.createDataFrame([], _LEAK)
+        return docs.sparkSession.createDataFrame([], _TIED)
     out = results[0]
     for more in results[1:]:
         out = out.union(more)
     return out
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, doc_column: str = "doc_id") -> DataFrame:
+    """Copies of test items in docs (doc_id, text, ...); benchmark has item_id and text.
+
+    Result, one row for each document and item that it holds: doc_id, item_id, score (of the best
+    alignment, 1 for a whole copy), matched_words, begin_byte and end_byte of the aligned passage in
+    the UTF-8 text. Words are runs of letters and digits, A to Z as a to z. Documents and items without
+    a word, and items without an id, give no row. A null doc_id is kept as null. A repeated row of docs
+    gives repeated results, a repeated item counts once. Empty in, empty out.
+    """
+    return _leaks(docs, benchmark, doc_column).drop("tie")
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a test item; a null doc_id is judged as one document."""
-    found = stage(leaks(docs, benchmark).select(key(F.col("doc_id")).alias("_leak")).distinct())
-    return docs.join(found, key(docs["doc_id"]) == F.col("_leak"), "left_anti")
+    """docs without the documents that hold a test item; different texts with one doc_id, null or not, are judged each on its own."""
+    found = stage(_leaks(docs, benchmark, "doc_id").select(key(F.col("doc_id")).alias("_leak"), F.col("tie").alias("_with")).distinct())
+    return docs.join(found, (key(docs["doc_id"]) == F.col("_leak")) & (F.xxhash64(docs["text"]) == F.col("_with")), "left_anti")

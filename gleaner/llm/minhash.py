@@ -8,8 +8,8 @@ minimum and the maximum of one permutation fall into different bands.
 A pair with a similarity of 0.75 agrees in a band of 5 values with a chance of 0.237, and in none of
 the 48 bands with one of 2e-6.
 
-Texts with equal shingle sets form a class first, and one document stands for it from there on. In a
-bucket every class is compared with one pivot, whole set against whole set, never all with all. Where
+Texts with equal shingle sets form a class first; classes, not documents, are the nodes of the graph, so
+ids play no part in it. One text stands for a class from there on. In a bucket every class is compared with one pivot, whole set against whole set, never all with all. Where
 a bucket then holds several components, classes go that can't be linked across: those with less than
 75 in 100 of their shingles in other components. Of the rest, those outside their bucket's largest
 component are a query set that meets all others in blocks, by an index of their shingles; only links come
@@ -66,7 +66,7 @@ def bands(values: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc long, doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+_SIGNED = "doc long, tie long, doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +82,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = bands(np.stack([signature(s) for s in some]))
         offsets = np.r_[0, np.cumsum((sizes > 0) * BANDS)].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
-            names=["doc", "doc_id", "n_shingles", "d1", "d2", "bands"],
+            [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
+            names=["doc", "tie", "doc_id", "n_shingles", "d1", "d2", "bands"],
         )
 
 
@@ -91,7 +91,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         data, ends = utf8(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(data[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["doc", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([pack.compress(data[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["of", "tie", "packed"])
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = SIMILAR_PERCENT) -> bool:
@@ -207,27 +207,23 @@ def _found(queries: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Near-duplicate components of docs (doc_id, text, ...).
-
-    A text's set holds its distinct shingles of five words, the whole text where it has fewer words.
-    Two documents are linked if their sets have a similarity of 0.75 or more. Result: doc_id,
-    n_shingles, component_id (the smallest doc_id reachable, itself included), kept (doc_id =
-    component_id) for every row. Null, empty and blank texts have an empty set and are linked with
-    nothing. Rows with one doc_id are one document. A null doc_id is a document that comes before all
-    others; its component_id is null. Further columns are ignored. Empty in, empty out.
-    """
+def _marked(docs: DataFrame) -> DataFrame:
+    """Rows (doc, tie, doc_id, n_shingles, first, kept) of docs: key and text hash of a row and of the first
+    document of its component, by doc_id and then by hash."""
     small_batches(docs.sparkSession)
-    source = docs.select(key(F.col("doc_id")).alias("doc"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    source = docs.select(key(F.col("doc_id")).alias("doc"), "text", F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"))
     signed = stage(source.mapInArrow(_signatures, _SIGNED))
     some = signed.where("n_shingles > 0")
-    classes = stage(some.groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("n_shingles").alias("n")))
-    chosen = some.select("doc", "d1", "d2", "bands").join(classes, ["doc", "d1", "d2"])
-    members = chosen.select(F.explode("bands").alias("bucket"), "doc", "n").distinct()
+    classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tie")).alias("first"), F.first("n_shingles").alias("n"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()))
+    chosen = some.join(classes.select("d1", "d2", F.col("first.doc").alias("doc"), F.col("first.tie").alias("tie"), "n", "node"), ["d1", "d2", "doc", "tie"])
+    members = chosen.select(F.explode("bands").alias("bucket"), F.col("node").alias("doc"), "n").distinct()
     shared = stage(members.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
     members = stage(members.join(shared, "bucket", "left_semi"))
-    ids = stage(members.select("doc").distinct())
-    texts = stage(source.select("doc", "text").mapInArrow(_packed, "doc long, packed binary").join(ids, "doc", "left_semi").dropDuplicates(["doc"]))
+    ids = members.select(F.col("doc").alias("node")).distinct()
+    ids = stage(classes.join(ids, "node", "left_semi").select(F.col("first.doc").alias("of"), F.col("first.tie").alias("tie"), F.col("node").alias("doc")))
+    texts = source.select("doc", "text", "tie").mapInArrow(_packed, "of long, tie long, packed binary")
+    texts = stage(texts.join(ids, ["of", "tie"]).select("doc", "packed").dropDuplicates(["doc"]))
     fits = f"100 * least(n, pn) >= {SIMILAR_PERCENT} * greatest(n, pn)"
     links = None
     while True:
@@ -252,18 +248,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             found = _found(queries, stage(sets.join(rest.select("doc").distinct(), "doc", "left_semi")))
             joined = components(stage(links.union(found)))
             break
-    of_class = stage(classes.join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("c")))
-    out = signed.select("doc", "doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc"))
-    component = F.when(component != NULL_ID, component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    tops = joined.join(classes.select(F.col("node").alias("id"), "first"), "id").groupBy("component").agg(F.min("first").alias("top"))
+    tops = joined.join(tops, "component").select(F.col("id").alias("node"), "top")
+    of_class = stage(classes.join(tops, "node", "left").select("d1", "d2", F.coalesce("top", "first").alias("first")))
+    out = signed.select("doc", "tie", "doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
+    own = F.struct("doc", "tie")
+    first = F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(own)
+    return out.select("doc", "tie", "doc_id", "n_shingles", first.alias("first"), (first == own).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Near-duplicate components of docs (doc_id, text, ...).
+
+    A text's set holds its distinct shingles of five words, the whole text where it has fewer words.
+    Two documents are linked if their sets have a similarity of 0.75 or more. Result: doc_id,
+    n_shingles, component_id (the smallest doc_id reachable, itself included), kept for every row. Null,
+    empty and blank texts have an empty set and are linked with nothing. Rows with one doc_id and one text
+    are one document, different texts with one doc_id are different documents, also where the doc_id is
+    null; a null comes before all others. kept marks the first document of a component: that with doc_id =
+    component_id, and of several the one with the smallest hash of its text. Further columns are ignored.
+    Empty in, empty out.
+    """
+    component = F.when(F.col("first.doc") != NULL_ID, F.col("first.doc"))
+    return _marked(docs).select("doc_id", "n_shingles", component.alias("component_id"), "kept")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, all columns as they were; of rows with one doc_id, one stays."""
-    marks = stage(near_duplicates(docs))
-    chosen = stage(marks.where("kept").select(key(F.col("doc_id")).alias("_kept")).distinct())
-    out = docs.join(chosen, key(docs["doc_id"]) == F.col("_kept"), "left_semi")
-    if is_empty(marks.groupBy("doc_id").count().where("count > 1").limit(1)):
-        return out
-    return out.dropDuplicates(["doc_id"])
+    """The rows of docs that near_duplicates keeps, all columns as they were; of rows with one doc_id and one text, one stays."""
+    marks = stage(_marked(docs).where("kept").select(F.col("doc").alias("_doc"), F.col("tie").alias("_with")))
+    out = docs.withColumn("_tie", F.xxhash64("text"))
+    out = out.join(marks.distinct(), (key(out["doc_id"]) == F.col("_doc")) & (F.col("_tie") == F.col("_with")), "left_semi")
+    if not is_empty(marks.groupBy("_doc", "_with").count().where("count > 1").limit(1)):
+        out = out.dropDuplicates(["doc_id", "_tie"])
+    return out.drop("_tie")

@@ -172,3 +172,18 @@ def test_leaks_in_edited_copies(spark):
     left = without_leaks(docs, bench)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [3, 5, 6, 7]
     assert docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_texts_that_share_an_id(spark):
+    """Null-id texts A and B with a copy each, a third null-id text of its own, two texts under id 7, and a near copy within it."""
+    a, b, c, d, e = (prose(700 + k, 60) for k in range(5))
+    near = d.split()
+    near = " ".join([*near[:30], "changed", *near[31:]])
+    pairs = [(None, a), (None, b), (None, c), (5, a), (9, b), (7, d), (7, near), (7, e), (8, e), (None, c)]
+    docs = frame(spark, [(k, t, "en", "s", 1, "", "", 0) for k, t in pairs])
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, None, True)] * 4 + [(5, None, False), (9, None, False), (7, 7, True), (7, 7, False), (7, 7, True), (8, 7, False)]))
+    left = [(r.doc_id, r.text) for r in one_of_each(docs).collect()]
+    assert len(left) == 5 and {(None, a), (None, b), (None, c), (7, e)} < set(left) and len({(7, d), (7, near)} & set(left)) == 1
+    kept = without_leaks(docs, spark.createDataFrame([(1, a), (2, e)], "item_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted([b, c, b, d, near, c])
