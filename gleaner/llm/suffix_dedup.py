@@ -23,7 +23,6 @@ a join that adaptive execution may split where one bucket holds many rows.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import key, mix, small_batches, stage, utf8, wider
+from gleaner.llm.common import key, mix, small_batches, stage, utf8
 
 #: Length of a repeated string, and of the anchors in it.
 WINDOW, GRAM = 100, 32
@@ -41,11 +40,12 @@ _PIECE = 8
 #: Positions that are hashed at once, so that the arrays stay in the processor's cache.
 _BLOCK = 16384
 _LOW = np.uint64((1 << 24) - 1)
-#: A place is tie << 46 | first window << 14 | windows << 7 | bytes before the anchor: it sorts by position.
-_TIE, _LO, _N = 46, 14, 7
+#: A place is first window << 14 | windows << 7 | bytes before the anchor: it sorts by position.
+_LO, _N = 14, 7
 
-_UNIT = "core long, whole long, doc long, place long"
-_TEXT = "doc long, tie int, doc_id long, n_bytes long, packed binary"
+#: tie is a 64-bit hash of the text, which tells different texts with one doc_id apart.
+_UNIT = "core long, whole long, doc long, tie long, place long"
+_TEXT = "doc long, tie long, doc_id long, n_bytes long, packed binary"
 
 
 class _Grams:
@@ -114,16 +114,12 @@ def _whole(g: _Grams, lo, hi, x):
     return mix(mix(g.window(lo), g.window(hi)), ((hi - lo) * 256 + (x - lo)).astype(np.uint64))
 
 
-def _tie(data: np.ndarray, a: int, b: int) -> int:
-    return zlib.crc32(data[a:b]) & 0x1FFFF
-
-
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def _batch(core, whole, doc, place) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_signed(core), _signed(whole), pa.array(doc), pa.array(place)], names=["core", "whole", "doc", "place"])
+def _batch(core, whole, doc, tie, place) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_signed(core), _signed(whole), pa.array(doc), pa.array(tie), pa.array(place)], names=["core", "whole", "doc", "tie", "place"])
 
 
 def _level0(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +130,8 @@ def _level0(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         g = _Grams(data)
         at = np.searchsorted(ends, lo, "right") - 1
-        ties = np.array([_tie(data, a, b) for a, b in zip(ends[:-1], ends[1:])], np.int64)
-        place = ties[at] << _TIE | (lo - ends[at]) << _LO | (hi - lo + 1) << _N | (x - lo)
-        yield _batch(g.of32(x), _whole(g, lo, hi, x), np.asarray(batch.column(0))[at], place)
+        place = (lo - ends[at]) << _LO | (hi - lo + 1) << _N | (x - lo)
+        yield _batch(g.of32(x), _whole(g, lo, hi, x), np.asarray(batch.column(0))[at], np.asarray(batch.column(2))[at], place)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +141,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, ends = utf8(batch.column(1))
         pairs = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_tie(data, a, b) for a, b in pairs], pa.int32()), batch.column(2), pa.array([b - a for a, b in pairs], pa.int64()), pa.array([pack.compress(data[a:b].tobytes()) for a, b in pairs], pa.binary())],
+            [batch.column(0), batch.column(2), batch.column(3), pa.array([b - a for a, b in pairs], pa.int64()), pa.array([pack.compress(data[a:b].tobytes()) for a, b in pairs], pa.binary())],
             names=["doc", "tie", "doc_id", "n_bytes", "packed"],
         )
 
@@ -183,7 +178,7 @@ def _finer(level: int):
             place = np.asarray(places.flatten())
             for s in range(0, len(place), _BLOCK):
                 some = place[s : s + _BLOCK]
-                lo, n, before = (some >> _LO & 0xFFFFFFFF) + begins[text[s : s + _BLOCK]], some >> _N & 127, some & 127
+                lo, n, before = (some >> _LO) + begins[text[s : s + _BLOCK]], some >> _N & 127, some & 127
                 x, g = lo + before, _Grams(data)
                 if level == 1:
                     first = (before - n + 1) // _PIECE
@@ -199,8 +194,8 @@ def _finer(level: int):
                     x = x[each]
                     core, whole = g.window(a), g.other(a)
                 number = text[s : s + _BLOCK][each]
-                at = np.asarray(batch.column("tie")).astype(np.int64)[number] << _TIE | (a - begins[number]) << _LO | (b - a + 1) << _N | (x - a)
-                yield _batch(core, whole, np.asarray(batch.column("doc"))[number], at)
+                at = (a - begins[number]) << _LO | (b - a + 1) << _N | (x - a)
+                yield _batch(core, whole, np.asarray(batch.column("doc"))[number], np.asarray(batch.column("tie"))[number], at)
 
     return units
 
@@ -209,16 +204,16 @@ def _resolve(units: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]
     """Units that repeat an earlier one, and units that must be refined (none on the last level)."""
     repeated = stage(units.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     units = stage(units.join(repeated, "core", "left_semi"))
-    firsts = stage(units.groupBy("core", "whole").agg(F.min(F.struct("doc", "place")).alias("first")))
-    copies = units.join(firsts, ["core", "whole"]).where(F.struct("doc", "place") > F.col("first")).select("doc", "place")
+    firsts = stage(units.groupBy("core", "whole").agg(F.min(F.struct("doc", "tie", "place")).alias("first")))
+    copies = units.join(firsts, ["core", "whole"]).where(F.struct("doc", "tie", "place") > F.col("first")).select("doc", "tie", "place")
     if last:
         return stage(copies), None
     several = stage(firsts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-    return stage(copies), stage(firsts.join(several, "core", "left_semi").select("first.doc", "first.place"))
+    return stage(copies), stage(firsts.join(several, "core", "left_semi").select("first.doc", "first.tie", "first.place"))
 
 
 def _by_text(places: DataFrame) -> DataFrame:
-    return places.groupBy("doc", F.shiftright("place", _TIE).cast("int").alias("tie")).agg(F.collect_list("place").alias("places"))
+    return places.groupBy("doc", "tie").agg(F.collect_list("place").alias("places"))
 
 
 def _removed(batch: pa.RecordBatch, k: int, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +223,7 @@ def _removed(batch: pa.RecordBatch, k: int, data: np.ndarray) -> tuple[np.ndarra
         none = np.zeros(0, np.int64)
         return none, none
     place = np.asarray(places.values)
-    lo = place >> _LO & 0xFFFFFFFF
+    lo = place >> _LO
     order = np.argsort(lo, kind="stable")
     lo, end = lo[order], np.maximum.accumulate((lo + (place >> _N & 127) - 1 + WINDOW)[order])
     first = np.flatnonzero(np.r_[True, lo[1:] > end[:-1]])
@@ -261,9 +256,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The packed texts of docs, and the places of repeated windows by text."""
     small_batches(docs.sparkSession)
-    source = docs.select(key(F.col("doc_id")).alias("doc"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    source = docs.select(key(F.col("doc_id")).alias("doc"), "text", F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"))
     packed = source.mapInArrow(_packed, _TEXT)
-    copies, refine = _resolve(source.select("doc", "text").mapInArrow(_level0, _UNIT), False)
+    copies, refine = _resolve(source.select("doc", "text", "tie").mapInArrow(_level0, _UNIT), False)
     found = [copies]
     for level in (1, 2):
         finer = packed.join(_by_text(refine), ["doc", "tie"]).select("doc", "tie", "packed", "places").mapInArrow(_finer(level), _UNIT)
@@ -279,20 +274,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     smaller doc_id, or earlier in the same document. Strings are judged on the input. Result: doc_id,
     n_bytes, n_removed, n_spans, kept_sha256 for every row. Null and empty texts have 0 bytes. A null
     doc_id comes before all others. Rows with one doc_id and one text count as one document and get
-    the same result; of different texts with one doc_id, that with the smaller checksum comes first.
+    the same result; of different texts with one doc_id, that with the smaller 64-bit hash comes first.
     Further columns are ignored. An empty table gives an empty result.
     """
     packed, places = _spans(docs)
     return packed.join(places, ["doc", "tie"], "left").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _key_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, ends = utf8(batch.column("text"))
-        ties = [_tie(data, a, b) for a, b in zip(ends[:-1], ends[1:])]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ties, pa.int32())], names=[*batch.schema.names, "_tie"])
-
-
 def remove_repeated(docs: DataFrame) -> DataFrame:
     """docs with repeated strings taken out of text, with all other columns as they were.
 
@@ -301,8 +289,8 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     A null text stays null.
     """
     packed, places = _spans(docs)
-    changed = packed.join(places, ["doc", "tie"]).mapInArrow(_texts, "doc long, tie int, text string").withColumnsRenamed({"doc": "_doc", "tie": "_with", "text": "_text"}).dropDuplicates(["_doc", "_with"])
-    base = docs.mapInArrow(_key_only, wider(docs, _tie="int"))
+    changed = packed.join(places, ["doc", "tie"]).mapInArrow(_texts, "doc long, tie long, text string").withColumnsRenamed({"doc": "_doc", "tie": "_with", "text": "_text"}).dropDuplicates(["_doc", "_with"])
+    base = docs.withColumn("_tie", F.xxhash64("text"))
     out = base.join(changed, (key(base["doc_id"]) == F.col("_doc")) & (F.col("_tie") == F.col("_with")), "left")
     text = F.coalesce(F.col("_text"), base["text"])
     new = {"text": text, **({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}

@@ -1,6 +1,7 @@
 """Near duplicates, repeated strings and benchmark copies against plain versions."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -187,3 +188,17 @@ def test_texts_that_share_an_id(spark):
     assert len(left) == 5 and {(None, a), (None, b), (None, c), (7, e)} < set(left) and len({(7, d), (7, near)} & set(left)) == 1
     kept = without_leaks(docs, spark.createDataFrame([(1, a), (2, e)], "item_id long, text string")).collect()
     assert sorted(r.text for r in kept) == sorted([b, c, b, d, near, c])
+
+
+def test_texts_whose_short_checksums_collide(spark):
+    """Two null-id texts with equal lower 17 bits of their CRC: one repeats a passage, the other is clean."""
+    short = lambda t: zlib.crc32(t.encode()) & 0x1FFFF
+    passage, long = prose(800, 60), prose(801, 160)
+    repeats = {short(t): t for t in (f"{passage} {n} {passage}" for n in range(4000))}
+    clean = next(t for t in (f"{long} {n}" for n in range(100_000)) if short(t) in repeats)
+    dirty = repeats[short(clean)]
+    docs = frame(spark, [(None, t, "en", "s", 1, "", "", 0) for t in (dirty, clean)])
+    want = {removed([(1, t)])[1] for t in (dirty, clean)}
+    assert {tuple(r)[1:] for r in repeated_spans(docs).collect()} == want and len(want) == 2
+    out = {r.text for r in remove_repeated(docs).collect()}
+    assert clean in out and len(out) == 2 and min(map(len, out)) < len(dirty) - 100
