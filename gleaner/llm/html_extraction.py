@@ -12,6 +12,7 @@ Generation and training use a fixed seed.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import math
@@ -33,7 +34,9 @@ PAGES, EPOCHS, BATCH, SEED = 1600, 6, 20, 11
 
 _BLOCK_TAGS = frozenset("html body article section nav header footer aside main div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog center hgroup menu label button select option optgroup iframe head".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title svg math object canvas audio video iframe select".split())
+_RAW = frozenset("script style noscript template textarea title svg object canvas audio video iframe select".split())
+#: Raw elements whose content is never markup: unclosed, they run to the end of the page. Others end with their tag.
+_TEXT_ONLY = frozenset("script style textarea title".split())
 _CLOSES_P = _BLOCK_TAGS - {"label", "button", "select", "option", "optgroup", "html", "body", "head", "iframe"}
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article section div aside nav main body form".split())
@@ -46,7 +49,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """Path, text and number of characters in links of each leaf block, in page order.
 
     Character references are decoded and white space, line breaks included, becomes one space. Blocks
-    without text are left out, as is what scripts, styles and other raw elements hold.
+    without text are left out, as is what scripts, styles and other raw elements hold. A raw element
+    without a closing tag holds the rest of the page if it is a script, style, textarea or title, else nothing;
+    a self-closed svg holds nothing.
     """
     out: list[tuple[tuple[str, ...], str, int]] = []
     names: list[str] = []
@@ -54,6 +59,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     parts: list[str] = []
     state = {"link": 0, "in": False}
     at, end = 0, len(page)
+    closes: dict[str, list[int]] = {}
 
     def flush() -> None:
         if parts:
@@ -84,8 +90,14 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         name, closing = name.lower(), bool(found[1] or found[4])
         if name in _RAW and not closing:
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            if name != "svg" or not page.endswith("/>", 0, at):
+                if name not in closes:
+                    closes[name] = [m.end() for m in re.compile(rf"</{name}\s*>", re.I).finditer(page)]
+                k = bisect.bisect_right(closes[name], at)
+                if k < len(closes[name]):
+                    at = closes[name][k]
+                elif name in _TEXT_ONLY:
+                    at = end
             if name in _BLOCK_TAGS:
                 flush()
         elif name in ("br", "hr"):

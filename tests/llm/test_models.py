@@ -22,6 +22,18 @@ def test_blocks():
     assert html_extraction.blocks("<p " * 20_000) == []
 
 
+def test_raw_elements_that_do_not_close():
+    texts = lambda page: [t for _, t, _ in html_extraction.blocks(page)]
+    assert texts("<p>a <svg viewBox='0 0'/> b<p>c <svg><text>no</text></svg> d") == ["a b", "c d"]
+    assert texts("<p>a <math/> b <math><mi>x</mi><mo>=</mo><mn>1</mn></math> c") == ["a b x=1 c"]
+    for name in ("object", "canvas", "audio", "video", "noscript", "svg", "template"):
+        assert texts(f"<p>a <{name} id=x> b<p>c") == ["a b", "c"], name
+        assert texts(f"<p>a <{name} id=x>no</{name}> b<p>c") == ["a b", "c"], name
+    for name in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>a <{name}> b<p>c") == ["a"], name
+    assert texts("<svg>" * 20_000 + "x") == ["x"]
+
+
 def test_gradients_of_the_recurrent_network():
     r = np.random.default_rng(1)
     net = html_extraction.BiLstm(2)
