@@ -1,7 +1,8 @@
 """WARC derivatives: metadata and plain-text conversion records from responses.
 
-A record is a row: warc_type, record_id, refers_to, target_uri, date, content_type, headers (named
-fields of the record in order), block (bytes), block_digest, payload_digest. Records are read from and
+A record is a row: warc_type, record_id, refers_to, target_uri, date, content_type, block_digest,
+payload_digest, block (bytes), headers (all further named fields of the record in order, a name and a
+value each; Content-Length follows from block). Records are read from and
 written to files of the format, whole records in gzip members of their own.
 """
 
@@ -24,12 +25,15 @@ from gleaner.llm.common import small_batches
 from gleaner.llm.html_extraction import blocks
 
 _NAMES = ("warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "payload_digest")
-RECORD = T.StructType([*(T.StructField(n, T.StringType()) for n in _NAMES), T.StructField("block", T.BinaryType())])
+RECORD = T.StructType([*(T.StructField(n, T.StringType()) for n in _NAMES), T.StructField("block", T.BinaryType()), T.StructField("headers", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])))])
 _FIELDS = {"warc-type": "warc_type", "warc-record-id": "record_id", "warc-refers-to": "refers_to", "warc-target-uri": "target_uri", "warc-date": "date", "content-type": "content_type", "warc-block-digest": "block_digest", "warc-payload-digest": "payload_digest"}
 _HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest"}
-#: Headers of a response that its metadata record repeats.
-SOURCE_HEADERS = ("content-type", "content-language", "content-length", "last-modified", "etag", "server", "date")
-_ARROW = pa.schema([*((n, pa.string()) for n in _NAMES), ("block", pa.binary())])
+#: Fields that hold for a source record's own block only, so that no derived record has them.
+_OWN_FIELDS = ("warc-identified-payload-type", "warc-segment-number", "warc-segment-origin-id", "warc-segment-total-length")
+_ARROW = pa.schema([*((n, pa.string()) for n in _NAMES), ("block", pa.binary()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))])
+
+
+_LINE_END = re.compile(r"[\r\n]+")
 
 
 def digest(data: bytes) -> str:
@@ -97,12 +101,13 @@ def _derived(r: dict) -> Iterator[dict]:
     known = {n.lower(): v for n, v in headers}
     source, uri = r["record_id"] or "", r["target_uri"] or ""
     lines = [("source-record-id", source), ("source-status", status), ("source-block-digest", r["block_digest"] or digest(block)), ("source-payload-digest", digest(payload))]
-    lines += [(f"source-header-{n}", known[n]) for n in SOURCE_HEADERS if n in known]
+    lines += [(f"source-field-{h['name'].lower()}", h["value"]) for h in r["headers"] or []]
+    lines += [(f"source-header-{n.lower()}", v) for n, v in headers]
     text = plain_text(payload, known.get("content-type", "")).encode("utf-8", "replace")
     conversion = record_id("conversion", source, uri, digest(payload))
     lines.append(("conversion-record-id", conversion))
-    about = "".join(f"{n}: {v}\r\n" for n, v in lines).encode()
-    same = {"refers_to": r["record_id"], "target_uri": r["target_uri"], "date": r["date"]}
+    about = "".join(f"{n}: {_LINE_END.sub(' ', v or '')}\r\n" for n, v in lines).encode("utf-8", "replace")
+    same = {"refers_to": r["record_id"], "target_uri": r["target_uri"], "date": r["date"], "headers": [h for h in r["headers"] or [] if h["name"].lower() not in _OWN_FIELDS]}
     yield same | {"warc_type": "metadata", "record_id": record_id("metadata", source, uri, digest(payload)), "content_type": "application/warc-fields", "block_digest": digest(about), "payload_digest": None, "block": about}
     yield same | {"warc_type": "conversion", "record_id": conversion, "content_type": "text/plain; charset=utf-8", "block_digest": digest(text), "payload_digest": digest(payload), "block": text}
 
@@ -110,8 +115,9 @@ def _derived(r: dict) -> Iterator[dict]:
 def derive(records: DataFrame, keep: str | None = None) -> DataFrame:
     """Two records for each response of records: metadata, then conversion to plain text.
 
-    Both refer to the response; the metadata names the conversion, the response's status, chosen headers
-    and digests. payload_digest of a conversion is that of the response's payload. Identifiers follow
+    Both refer to the response; the metadata names the conversion, the response's status and digests,
+    all further fields of its record (source-field-) and all its HTTP headers (source-header-), repeated
+    ones in order. Both carry the record's further fields in headers, without those of its own block. payload_digest of a conversion is that of the response's payload. Identifiers follow
     from the source. A response with a null or empty block gives an empty conversion; a repeated one
     gives repeated rows. Records of other types give nothing. keep names a column to carry along.
     """
@@ -142,12 +148,13 @@ def responses(pages: DataFrame) -> DataFrame:
     h = F.md5(F.concat_ws(" ", F.col("page_id").cast("string"), "url").cast("binary"))
     urn = F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
     none = F.lit(None).cast("string")
-    return pages.select("page_id", F.lit("response").alias("warc_type"), urn.alias("record_id"), none.alias("refers_to"), F.col("url").cast("string").alias("target_uri"), F.lit("1970-01-01T00:00:00Z").alias("date"), F.lit("application/http; msgtype=response").alias("content_type"), none.alias("block_digest"), none.alias("payload_digest"), F.concat(head.cast("binary"), body).alias("block"))
+    return pages.select("page_id", F.lit("response").alias("warc_type"), urn.alias("record_id"), none.alias("refers_to"), F.col("url").cast("string").alias("target_uri"), F.lit("1970-01-01T00:00:00Z").alias("date"), F.lit("application/http; msgtype=response").alias("content_type"), none.alias("block_digest"), none.alias("payload_digest"), F.concat(head.cast("binary"), body).alias("block"), F.array().cast(RECORD["headers"].dataType).alias("headers"))
 
 
 def written(r: dict) -> bytes:
     """One record as a gzip member."""
     lines = [f"{_HEADERS[n]}: {r[n]}" for n in _NAMES if r[n] is not None]
+    lines += [f"{h['name']}: {h['value'] or ''}" for h in r["headers"] or []]
     block = r["block"] or b""
     raw = "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
     return gzip.compress(raw, 6, mtime=0)
@@ -167,13 +174,22 @@ def parsed(data: bytes) -> Iterator[dict]:
         end = data.find(b"\r\n\r\n", found)
         if end < 0:
             return
-        record, size = dict.fromkeys(_ARROW.names), 0
+        fields: list[tuple[str, str]] = []
         for line in data[found:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            if name.strip().lower() == "content-length" and value.strip().isdigit():
+            if line[:1] in (" ", "\t") and fields:
+                fields[-1] = fields[-1][0], f"{fields[-1][1]} {line.strip()}"
+            elif ":" in line:
+                name, _, value = line.partition(":")
+                fields.append((name.strip(), value.strip()))
+        record, size = dict.fromkeys(_ARROW.names) | {"headers": []}, 0
+        for name, value in fields:
+            column = _FIELDS.get(name.lower())
+            if name.lower() == "content-length" and value.isdigit():
                 size = int(value)
-            elif name.strip().lower() in _FIELDS:
-                record[_FIELDS[name.strip().lower()]] = value.strip()
+            elif column and record[column] is None:
+                record[column] = value
+            else:
+                record["headers"].append({"name": name, "value": value})
         if end + 4 + size > len(data):
             return
         yield record | {"block": data[end + 4 : end + 4 + size]}

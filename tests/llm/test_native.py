@@ -163,3 +163,22 @@ def test_http_bodies():
     _, headers, payload = warc.split_response(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\nX: a\r\n b\r\n\r\n" + chunks)
     assert payload == b"hello" and ("X", "a b") in headers
     assert warc.split_response(b"plain") == ("", [], b"plain")
+
+
+def test_warc_keeps_every_header(spark, tmp_path):
+    http = b"HTTP/1.1 302 Found\r\nSet-Cookie: a=1\r\nLocation: http://b/\r\nX-Robots-Tag: noindex\r\nSet-Cookie: b=2\r\nContent-Type: text/plain\r\n\r\nhello"
+    fields = ["WARC-Type: response", "WARC-Record-ID: <urn:x>", "WARC-IP-Address: 1.2.3.4", "WARC-Concurrent-To: <urn:y>", "WARC-Concurrent-To: <urn:z>", "WARC-Truncated: time", "WARC-Identified-Payload-Type: text/html", f"Content-Length: {len(http)}"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc").write_bytes("\r\n".join(["WARC/1.1", *fields, "", ""]).encode() + http + b"\r\n\r\n")
+    records = warc.read(spark, str(tmp_path / "in"))
+    want = [tuple(f.split(": ", 1)) for f in fields[2:-1]]
+    (row,) = records.collect()
+    assert [tuple(h) for h in row.headers] == want
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "a.warc.gz").write_bytes(b"".join(bytes(r.member) for r in warc.packed(records).collect()))
+    assert warc.read(spark, str(tmp_path / "out")).collect() == [row]
+    about, conversion = sorted(warc.derive(records).collect(), key=lambda r: r.warc_type, reverse=True)
+    assert [tuple(h) for h in about.headers] == [tuple(h) for h in conversion.headers] == want[:-1]
+    lines = bytes(about.block).decode().split("\r\n")
+    assert [x for x in lines if x.startswith("source-header-")] == ["source-header-set-cookie: a=1", "source-header-location: http://b/", "source-header-x-robots-tag: noindex", "source-header-set-cookie: b=2", "source-header-content-type: text/plain"]
+    assert [x for x in lines if x.startswith("source-field-")] == [f"source-field-{n.lower()}: {v}" for n, v in want]
