@@ -3,7 +3,8 @@
 A seed is three words in a row of a test item that would seldom meet by chance: the product of the
 shares of its words among all words of the corpus is at most RARE. The shares come from a count over
 all documents. Expected frequency, unlike the observed one, does not rise when a test item itself was
-copied thousands of times. An item without such a seed takes its rarest ones. Where a document has a
+copied thousands of times. An item without such a seed takes its rarest ones. Of a short item all pairs
+of words in a row are seeds, as few edits leave no three words together. Where a document has a
 seed of an item, the passage around it is aligned with the whole item word by word, so that replaced,
 left out and added words lower the score and do not hide the copy.
 
@@ -13,6 +14,7 @@ are never shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm.common import key, small_batches, stage, utf8
-from gleaner.llm.shingles import LOOSE, grams, words
+from gleaner.llm.shingles import grams, loose_words
 
 SEED_WORDS, RARE = 3, 1e-6
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Least score, as a share of that of a whole copy, and least number of equal words (or all of the item).
+#: Least score, as a share of that of a whole copy, and least number of equal words.
 LEAST_SCORE, LEAST_WORDS = 0.5, 8
+#: Items of fewer words than SHORT need this share of equal words instead, those of fewer than TINY a higher
+#: score, and those of at most SEED_WORDS words count whole only: part of these says nothing.
+SHORT, SHORT_SHARE, TINY, TINY_SCORE = 14, 0.6, 10, 0.62
 #: Items of at most this many bytes meet the documents at once.
 BLOCK_BYTES = 16 << 20
 
@@ -57,9 +62,17 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, since, at
 
 
+def counts_as_copy(score: int, same: int, length: int) -> bool:
+    """Whether an alignment with an item of some length is a copy of it."""
+    if length <= SEED_WORDS:
+        return score == MATCH * length
+    least = LEAST_WORDS if length >= SHORT else min(LEAST_WORDS, math.ceil(SHORT_SHARE * length))
+    return score >= MATCH * length * (LEAST_SCORE if length >= TINY else TINY_SCORE) and same >= least
+
+
 def _item_words(text: str | None) -> np.ndarray:
     data = (text or "").encode()
-    return words(np.frombuffer(data + bytes(512), np.uint8), np.array([0, len(data)]), LOOSE)[0]
+    return loose_words(np.frombuffer(data + bytes(512), np.uint8), np.array([0, len(data)]))[0]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -83,7 +96,7 @@ def _shares(source: DataFrame, vocabulary: np.ndarray) -> dict[int, float]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, found = 0, np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            hashes = words(*utf8(batch.column(1)), LOOSE)[0]
+            hashes = loose_words(*utf8(batch.column(1)))[0]
             total += len(hashes)
             at = np.searchsorted(vocabulary, hashes)
             at[at == len(vocabulary)] = 0
@@ -100,10 +113,11 @@ def _seeds(block: list[tuple[int, np.ndarray]], shares: dict[int, float]) -> tup
     """For each length of a seed: its sorted hashes, and which item and place each stands for."""
     found: dict[int, list[tuple[int, int, int]]] = {}
     for number, (_, item) in enumerate(block):
-        n = min(SEED_WORDS, len(item))
+        short = SEED_WORDS < len(item) < SHORT
+        n = 2 if short else min(SEED_WORDS, len(item))
         chance = np.array([shares[int(w)] for w in item])
         chance = np.prod([chance[k : len(item) - n + 1 + k] for k in range(n)], axis=0)
-        for place in np.flatnonzero(chance <= max(RARE, chance.min())):
+        for place in np.flatnonzero(short | (chance <= max(RARE, chance.min()))):
             found.setdefault(n, []).append((int(grams(item[place : place + n], n)[0]), number, int(place)))
     out = {}
     for n, rows in found.items():
@@ -151,7 +165,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, doc_column: str) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch], block=block, seeds=seeds, lengths=lengths) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, ends = utf8(batch.column(1))
-                hashes, begin, end, first = words(data, ends, LOOSE)
+                hashes, begin, end, first = loose_words(data, ends)
                 likely = np.zeros(len(hashes) + 1, np.int64)
                 for n, (keys, _, _) in seeds.items():
                     here = grams(hashes, n)
@@ -170,7 +184,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, doc_column: str) -> DataFrame:
                     for number, (score, since, upto) in best.items():
                         item, share = block[number], score / (MATCH * lengths[number])
                         same = int(np.isin(hashes[since:upto], item[1]).sum())
-                        if share >= LEAST_SCORE and same >= min(LEAST_WORDS, lengths[number]):
+                        if counts_as_copy(score, same, int(lengths[number])):
                             rows.append((batch.column(0)[int(k)].as_py(), item[0], share, same, int(begin[since] - ends[k]), int(end[upto - 1] - ends[k]), batch.column(2)[int(k)].as_py()))
                 cols = list(zip(*rows)) if rows else [()] * 7
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
@@ -190,7 +204,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_column: str = "doc_id") ->
 
     Result, one row for each document and item that it holds: doc_id, item_id, score (of the best
     alignment, 1 for a whole copy), matched_words, begin_byte and end_byte of the aligned passage in
-    the UTF-8 text. Words are runs of letters and digits, A to Z as a to z. Documents and items without
+    the UTF-8 text. Words are runs of letters and digits, A to Z as a to z; in scripts
+    without spaces each character is a word. Documents and items without
     a word, and items without an id, give no row. A null doc_id is kept as null. A repeated row of docs
     gives repeated results, a repeated item counts once. Empty in, empty out.
     """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 
 from gleaner.llm.common import SHINGLE_WORDS, mix
@@ -26,17 +29,52 @@ _LOWER[65:91] += 32
 
 #: For looser comparison: any ASCII byte but letters and digits separates words.
 LOOSE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Scripts without spaces, in which every character is a word: Thai, Lao, Burmese, Khmer, Japanese, Chinese.
+_UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+
+
+@functools.lru_cache(1)
+def _kinds() -> np.ndarray:
+    """For each character: 1 if it separates words (punctuation, space, symbol), 2 if it is a word, else 0."""
+    out = np.zeros(0x110000, np.uint8)
+    for a, b in _UNSPACED:
+        out[a : b + 1] = 2
+    out[[c for c in range(128, 0x110000) if unicodedata.category(chr(c))[0] in "PSZ"]] = 1
+    return out
+
+
+def _beyond_ascii(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of separators that are not ASCII, and where one-character words begin and end."""
+    gone, cuts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n, least, most in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF4)):
+        at = np.flatnonzero((data[:size] >= least) & (data[:size] <= most))
+        code = data[at].astype(np.int64) & (0x7F >> n)
+        for k in range(1, n):
+            code = code << 6 | (data[at + k] & 0x3F)
+        kind = _kinds()[np.minimum(code, 0x10FFFF)]
+        gone += [at[kind == 1] + k for k in range(n)]
+        cuts += [at[kind == 2], at[kind == 2] + n]
+    gone, cuts = np.concatenate(gone), np.concatenate(cuts)
+    return gone[gone < size], cuts[cuts <= size]
+
+
+def loose_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words, but words are runs of letters and digits, and in scripts without spaces single characters."""
+    return words(data, ends, LOOSE, *_beyond_ascii(data, int(ends[-1])))
 
 
-def words(data: np.ndarray, ends: np.ndarray, separates: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, ends: np.ndarray, separates: np.ndarray = _SPACE, gone: np.ndarray | None = None, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, begin and end of all words of a batch in order, and the number of the first word of each text
     (one more at the end). A word is a run of bytes that do not separate, by default of others than 0x20 and 0x09 to 0x0D;
-    A to Z count as a to z."""
+    A to Z count as a to z. gone are more bytes that separate, cuts more places where a word ends and one begins."""
     size = int(ends[-1])
     space = np.ones(size + 2, bool)
     space[1 : size + 1] = separates[data[:size]]
     cut = np.zeros(size + 1, bool)
     cut[ends] = True
+    if gone is not None:
+        space[1 + gone] = True
+        cut[cuts] = True
     solid = ~space[1:]
     begin = np.flatnonzero(solid[:size] & (space[:size] | cut[:size]))
     end = np.flatnonzero(solid[:size] & (space[2:] | cut[1:])) + 1

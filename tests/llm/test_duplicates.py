@@ -202,3 +202,17 @@ def test_texts_whose_short_checksums_collide(spark):
     assert {tuple(r)[1:] for r in repeated_spans(docs).collect()} == want and len(want) == 2
     out = {r.text for r in remove_repeated(docs).collect()}
     assert clean in out and len(out) == 2 and min(map(len, out)) < len(dirty) - 100
+
+
+def test_leaks_of_short_items_and_unspaced_scripts(spark):
+    chinese = "植物通过光合作用将二氧化碳和水转化为葡萄糖"
+    items = {k: prose(900 + k, n).replace(".", "") for k, n in ((4, 4), (8, 8), (10, 10), (3, 3))} | {20: chinese, 21: "Überall – “größer”… straße; über naïve Öfen früh"}
+    edit = lambda k, *at: " ".join("changed" if n in at else w for n, w in enumerate(items[k].split()))
+    texts = {1: edit(4, 1), 2: edit(8, 4), 3: edit(10, 2, 5, 8), 4: edit(3, 2), 5: "今天我们学习：" + chinese + "，这是老师说的话", 6: "x Überall größer straße über naïve Öfen früh y", 7: "今天天气很好，我们去公园散步吧", 8: edit(8, 1, 3, 5), 9: " ".join(items[8].split()[:6])}
+    texts = {k: f"{prose(950 + k, 20)} {t} {prose(970 + k, 20)}" for k, t in texts.items()}
+    docs = frame(spark, [(k, t, "en", "s", 1, "", "", 0) for k, t in texts.items()])
+    bench = spark.createDataFrame([*items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks(docs, bench).collect()}
+    assert set(got) == {(1, 4), (2, 8), (3, 10), (5, 20), (6, 21), (9, 8)}
+    assert got[5, 20].score == got[6, 21].score == 1 and got[2, 8].matched_words == 7
+    assert texts[5].encode()[got[5, 20].begin_byte : got[5, 20].end_byte].decode() == chinese
