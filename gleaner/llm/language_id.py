@@ -12,14 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import key, small_batches, stage, wider
 
 DIMS, LONGEST = 1 << 13, 3
-#: The weights come from at most so many documents, those whose ids hash lowest; each fifth of these fits the temperature.
-TRAIN_ROWS = 2500
+#: The weights come from so many documents, those whose ids hash lowest, and from as many of each language, so that
+#: none is left out; each fifth of these fits the temperature.
+TRAIN_ROWS, OF_EACH = 2500, 50
 EPOCHS, ALPHA, BETA, L1, L2, SEED = 3, 0.5, 1.0, 0.02, 0.01, 3
 UNKNOWN = "und"
 _FACTORS = np.array([2654435761, 40503 * 65537, 97 * 16777619], np.uint64)
@@ -117,7 +118,8 @@ class Ftrl:
 
 def learn(docs: DataFrame) -> Ftrl:
     """A model of the languages in docs (doc_id, text, lang). Document frequencies come from all rows that
-    are not held out and have a text and a lang; weights from a bounded sample of them."""
+    are not held out and have a text and a lang; weights from a bounded sample of them that has rows of
+    every language."""
     small_batches(docs.sparkSession)
     taught = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out()).select(key(F.col("doc_id")).alias("doc"), "text", "lang")
 
@@ -134,7 +136,11 @@ def learn(docs: DataFrame) -> Ftrl:
     total, df = known.pop(-1, 0), np.zeros(DIMS)
     for k, n in known.items():
         df[k] = n
-    chosen = stage(taught.select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(TRAIN_ROWS))
+    some = taught.select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(TRAIN_ROWS)
+    letters = taught.where(F.col("text").rlike("\\p{L}")).select("doc", "lang").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc"))
+    of_each = letters.withColumn("k", place).where(F.col("k") <= OF_EACH).select("doc")
+    chosen = stage(some.union(of_each).distinct())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -136,3 +136,9 @@ def test_languages_of_awkward_texts(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert language_id.identify(docs, language_id.learn(empty)).where("lang_pred <> 'und'").count() == 0
     assert language_id.identify(empty, model).count() == 0
+
+
+def test_rare_languages_are_classes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TRAIN_ROWS", 40)
+    rows = [(k, prose(k, 20), "en", "s", 1, "", "", 0) for k in range(300)] + [(1000 + k, f"{k} слово предложение язык", "ru", "s", 1, "", "", 0) for k in range(3)]
+    assert language_id.learn(frame(spark, rows)).languages == ["en", "ru"]
