@@ -1,11 +1,13 @@
 """The stages of the pipeline, each on its own input."""
 
 import os
+import random
 
 import corpus_pipeline
-from cases import components, removed
+import numpy as np
+from cases import components, frame, prose, removed
 
-from gleaner.llm.decontamination import leaks
+from gleaner.llm.decontamination import _item_words, align, counts_as_copy, leaks
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -36,3 +38,30 @@ def test_stages(spark):
     total = mix.agg({"taken": "sum"}).head()[0]
     words = sum(len((r.text or "").split()) for r in docs.collect())
     assert abs(total - 1.5 * words) <= 0.01 * words + 30
+
+
+def test_decontamination_against_all_alignments(spark, tmp_path):
+    """Every item aligned with every whole document; copies have up to a quarter of their words replaced, dropped or added."""
+    r, texts, items = random.Random(5), {}, {k: prose(1100 + k, 12 + 7 * k) for k in range(10)}
+    items |= {20 + k: prose(1200 + k, 5 + k) for k in range(8)}
+    for number, (k, share) in enumerate((k, share) for k in items for share in (0, 0.1, 0.25)):
+        words = items[k].split()
+        for at in sorted(r.sample(range(len(words)), int(share * len(words))), reverse=True):
+            words[at : at + 1] = r.choice([["other"], [], [words[at], "more"]])
+        texts[number] = f"{prose(1300 + number, 25)} {' '.join(words)} {prose(1400 + number, 25)}"
+    texts |= {500 + k: prose(1500 + k, 80) for k in range(10)}
+    texts |= {600 + k: f"{prose(1600 + k, 20)} {' '.join(items[k].split()[: 6 + k])}" for k in range(10)}
+    docs = frame(spark, [(k, t, "en", "s", 1, "", "", 0) for k, t in texts.items()])
+    spark.createDataFrame([*items.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set()
+    for d, text in texts.items():
+        whole = _item_words(text)
+        for k, item in items.items():
+            w = _item_words(item)
+            score, since, upto = align(w, whole)
+            if score and counts_as_copy(score, int(np.isin(whole[since:upto], w).sum()), len(w)):
+                want.add((d, k))
+    got = {(x.doc_id, x.item_id) for x in leaks(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()}
+    assert len(want) > 40 and got == want, (got - want, want - got)
+    left = {x.doc_id for x in corpus_pipeline.clean(spark, docs, str(tmp_path)).collect()}
+    assert left == set(texts) - {d for d, _ in want}
