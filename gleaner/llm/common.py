@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch: whole texts come in batches of a few MB, a very long text counts alone.
-BATCH_ROWS = 256
+#: Python works on so many rows, or on so many bytes of whole texts, at once; a longer text comes alone.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: A null id takes this place in the order of ids and as a join key.
 NULL_ID = -(2**63)
 #: Shingles of this many words, and the least similarity of near duplicates in percent.
@@ -28,42 +29,93 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts must not meet by ten thousands in one Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sliced(batches: Iterator[pa.RecordBatch], column: int | str | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches a few at a time, without a copy and whatever the session's batch size is.
+
+    column names the one with the texts; without it the bytes of all columns count. Spark bounds the
+    bytes of a whole batch (spark.sql.execution.arrow.maxBytesPerBatch)."""
+    for batch in batches:
+        if not len(batch):
+            yield batch
+            continue
+        sizes = np.full(len(batch), batch.nbytes // len(batch) + 1, np.int64)
+        if column is not None and pa.types.is_string(kind := batch.column(column).type) or column is not None and pa.types.is_binary(kind):
+            offsets = batch.column(column).buffers()[1]
+            at = batch.column(column).offset
+            sizes = np.diff(np.frombuffer(offsets, np.int32)[at : at + len(batch) + 1]).astype(np.int64) if offsets else sizes
+        ends, start = np.cumsum(sizes), 0
+        while start < len(batch):
+            before = int(ends[start - 1]) if start else 0
+            stop = min(max(int(np.searchsorted(ends, before + BATCH_BYTES, "right")), start + 1), start + BATCH_ROWS)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def over_texts(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], column: int | str | None = None):
+    """run for mapInArrow, fed by sliced."""
+    return lambda batches: run(sliced(batches, column))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below spark.checkpoint.dir; only where that is unset, as in tests, a temporary one."""
+    """A folder of this application below spark.checkpoint.dir. Where that is unset a temporary folder serves
+    a local master, as in tests; on a cluster, whose machines share no such folder, that is an error."""
     if spark not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        context = spark.sparkContext
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
         if not base:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="gleaner-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        _FOLDERS[spark] = folder = f"{base.rstrip('/')}/gleaner-{spark.sparkContext.applicationId}"
-        context = spark.sparkContext
+        _FOLDERS[spark] = folder = f"{base.rstrip('/')}/gleaner-{context.applicationId}"
+        atexit.register(_remove, spark, folder)
+    return _FOLDERS[spark]
 
-        def clear() -> None:
-            if context._jsc is not None:
-                jvm = context._jvm
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
-        atexit.register(clear)
-    return _FOLDERS[spark]
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None:
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, clear: bool = True) -> DataFrame:
     """Write a step's rows to the shared folder and read them back: lineage ends there, so a lost
-    executor costs one step at most. Shuffle files of the steps before are then free to go."""
+    executor costs one step at most. With clear, shuffle files of the steps before go at once; small steps
+    need not wait for that. The files go with the application, or earlier by freed."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    if clear:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def freed(*stages: DataFrame | None) -> None:
+    """Delete the files of staged steps that nothing reads any more; frames that were not staged are left alone."""
+    for df in stages:
+        path = getattr(df, "_staged", None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+def numbered_columns(df: DataFrame, kept: list[int]) -> DataFrame:
+    """df's columns at some places under the names _in0, _in1, ..., so that no name of an operator can clash with them."""
+    return df.toDF(*[f"_in{k}" for k in range(len(df.columns))]).select(*[f"_in{k}" for k in kept])
+
+
+def places_of(df: DataFrame, *without: str) -> list[int]:
+    """The places of df's columns but for those named."""
+    return [k for k, c in enumerate(df.columns) if c.lower() not in without]
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """The name of a column of df in numbered_columns."""
+    return f"_in{[c.lower() for c in df.columns].index(name)}"
 
 
 def wider(df: DataFrame, **columns: str) -> T.StructType:
@@ -117,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
     and ends in a staged table; the last round leaves a star for each component. Empty edges give an
     empty result.
     """
-    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    now, before = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None
     while True:
         both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -125,6 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(down, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = stage(small.select("e.a", "e.b").where("a <> b").distinct())
+        freed(before)
+        before = now
         ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up")), F.struct(F.col("b").alias("n"), F.lit(0).alias("up")))).alias("e"))
         ends = ends.groupBy("e.n").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("low"))
         if is_empty(ends.where("up > 1 or up > 0 and low = 0")):

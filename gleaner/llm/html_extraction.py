@@ -12,13 +12,13 @@ Generation and training use a fixed seed.
 
 from __future__ import annotations
 
-import bisect
 import functools
 import html as entities
 import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small_batches
+from gleaner.llm.common import over_texts
 
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 48, 24, 8, 24
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
@@ -35,8 +35,11 @@ PAGES, EPOCHS, BATCH, SEED = 1600, 6, 20, 11
 _BLOCK_TAGS = frozenset("html body article section nav header footer aside main div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog center hgroup menu label button select option optgroup iframe head".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title svg object canvas audio video iframe select".split())
-#: Raw elements whose content is never markup: unclosed, they run to the end of the page. Others end with their tag.
+#: Raw elements whose content is never markup: unclosed, they run to the end of the page, as in browsers, and
+#: the first end tag closes them. Others nest, and unclosed they end with their tag.
 _TEXT_ONLY = frozenset("script style textarea title".split())
+#: Padded steps that the network reads at once, and blocks whose words are looked up at once.
+CELLS, _AT_ONCE = 1 << 14, 4096
 _CLOSES_P = _BLOCK_TAGS - {"label", "button", "select", "option", "optgroup", "html", "body", "head", "iframe"}
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article section div aside nav main body form".split())
@@ -45,27 +48,73 @@ _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _PART = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """Path, text and number of characters in links of each leaf block, in page order.
+class Element:
+    """An open element: its parent, depth, name and marks (classes, ids and role)."""
+
+    __slots__ = ("parent", "depth", "name", "marks", "_sums")
+
+    def __init__(self, parent: "Element | None", name: str, marks: list[str]):
+        self.parent, self.depth, self.name, self.marks, self._sums = parent, parent.depth + 1 if parent else 0, name, marks, None
+
+    def vector(self) -> np.ndarray:
+        """The signs of all elements from the outermost to this one, which counts most."""
+        todo, at = [], self
+        while at._sums is None:
+            todo.append(at)
+            if at.parent is None:
+                break
+            at = at.parent
+        for element in reversed(todo):
+            above = element.parent._sums[0] if element.parent else np.zeros(PATH_DIMS, np.float32)
+            own, leaf = np.zeros(PATH_DIMS, np.float32), np.zeros(PATH_DIMS, np.float32)
+            for mark in element.marks:
+                if mark not in ("html", "body", "div"):
+                    own += _signs(mark, PATH_DIMS)
+                    leaf += _signs(f"leaf {mark}", PATH_DIMS)
+            element._sums = above + own * np.float32(0.35), above + own * np.float32(0.5) + leaf * np.float32(0.25)
+        return self._sums[1]
+
+
+_ROOT = Element(None, "", [])
+
+
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where each raw element of a name ends, by the end of its tag; elements without an end are left out."""
+    if name in _TEXT_ONLY:
+        opens, closes = ([m.end() for m in re.finditer(rx, page, re.I)] for rx in (rf"<{name}(?![\w:-])[^>]*>", rf"</{name}\s*>"))
+        at = np.searchsorted(closes, opens, "right").tolist()
+        return {o: closes[k] for o, k in zip(opens, at) if k < len(closes)}
+    found, open_ = {}, []
+    for m in re.finditer(rf"<(/?){name}(?![\w:-])([^<>]*)>", page, re.I):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                open_.append(m.end())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
+def blocks(page: str) -> list[tuple[Element, str, int]]:
+    """Element, text and number of characters in links of each leaf block, in page order.
 
     Character references are decoded and white space, line breaks included, becomes one space. Blocks
-    without text are left out, as is what scripts, styles and other raw elements hold. A raw element
-    without a closing tag holds the rest of the page if it is a script, style, textarea or title, else nothing;
-    a self-closed svg holds nothing.
+    without text are left out, as is what scripts, styles and other raw elements hold; those that may
+    nest end where as many were closed as opened. A raw element without an end tag holds the rest of the
+    page if it is a script, style, textarea or title, else nothing; a self-closed one holds nothing.
     """
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    names: list[str] = []
-    paths: list[tuple[str, ...]] = [()]
+    out: list[tuple[Element, str, int]] = []
+    open_: list[Element] = [_ROOT]
+    count: Counter[str] = Counter()
     parts: list[str] = []
     state = {"link": 0, "in": False}
     at, end = 0, len(page)
-    closes: dict[str, list[int]] = {}
+    closed: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((paths[-1], text, min(state["link"], len(text))))
+                out.append((open_[-1], text, min(state["link"], len(text))))
             parts.clear()
         state["link"] = 0
 
@@ -75,8 +124,22 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if state["in"]:
                 state["link"] += len(text.strip())
 
-    def pop(k: int) -> None:
-        del names[k:], paths[k + 1 :]
+    def close(*names: str) -> None:
+        """Close the innermost element of these names and all in it."""
+        while any(count[n] for n in names):
+            gone = open_.pop().name
+            count[gone] -= 1
+            if gone in names:
+                return
+
+    def close_sibling(siblings: set[str]) -> None:
+        """Close the innermost of these elements unless a container stands between."""
+        if any(count[n] for n in siblings):
+            for k in range(len(open_) - 1, 0, -1):
+                if open_[k].name in siblings:
+                    return close(open_[k].name)
+                if open_[k].name in _SCOPE:
+                    return None
 
     while at < end:
         found = _TAG.search(page, at)
@@ -90,14 +153,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         name, closing = name.lower(), bool(found[1] or found[4])
         if name in _RAW and not closing:
-            if name != "svg" or not page.endswith("/>", 0, at):
-                if name not in closes:
-                    closes[name] = [m.end() for m in re.compile(rf"</{name}\s*>", re.I).finditer(page)]
-                k = bisect.bisect_right(closes[name], at)
-                if k < len(closes[name]):
-                    at = closes[name][k]
-                elif name in _TEXT_ONLY:
-                    at = end
+            if name in _TEXT_ONLY or not page.endswith("/>", 0, at):
+                if name not in closed:
+                    closed[name] = _ends(page, name)
+                at = closed[name].get(at, end if name in _TEXT_ONLY else at)
             if name in _BLOCK_TAGS:
                 flush()
         elif name in ("br", "hr"):
@@ -109,23 +168,18 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         elif name in _BLOCK_TAGS:
             flush()
             if closing:
-                if name in names:
-                    pop(len(names) - 1 - names[::-1].index(name))
+                close(name)
                 state["in"] = False
                 continue
-            if name in _CLOSES_P and "p" in names:
-                pop(len(names) - 1 - names[::-1].index("p"))
-            for k in range(len(names) - 1, -1, -1):
-                if names[k] in _SIBLING.get(name, ()):
-                    pop(k)
-                    break
-                if names[k] in _SCOPE:
-                    break
+            if name in _CLOSES_P:
+                close("p")
+            if name in _SIBLING:
+                close_sibling(_SIBLING[name])
             marks = [name]
             for m in _NAMES.finditer(found[3] or found[6] or ""):
                 marks += [f".{p}" for p in _PART.findall((m[1] or m[2] or m[3] or "").lower())]
-            names.append(name)
-            paths.append((*paths[-1], " ".join(marks)))
+            open_.append(Element(open_[-1], name, marks))
+            count[name] += 1
     flush()
     return out
 
@@ -136,18 +190,6 @@ def _signs(word: str, dims: int) -> np.ndarray:
     return np.array([1.0 if bits >> k & 1 else -1.0 for k in range(dims)], np.float32)
 
 
-@functools.lru_cache(20_000)
-def _path(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIMS, np.float32)
-    for depth, element in enumerate(reversed(path)):
-        for mark in element.split():
-            if mark not in ("html", "body", "div"):
-                out += _signs(mark, PATH_DIMS) * (0.5 if depth == 0 else 0.35)
-                if depth == 0:
-                    out += _signs(f"leaf {mark}", PATH_DIMS) * 0.25
-    return out
-
-
 _WORD_SIGNS = np.stack([_signs(f"word {k}", WORD_DIMS) for k in range(8192)])
 
 
@@ -164,24 +206,40 @@ class _Buckets(dict):
 _BUCKETS = _Buckets()
 
 
-def vectors(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(found: list[tuple[Element, str, int]]) -> np.ndarray:
     """A row for each block; all words of a block count."""
     out = np.zeros((len(found), DIMS), np.float32)
-    if not found:
-        return out
-    row_of, words, counts, measures = _BUCKETS, [], [], []
-    for k, (path, text, linked) in enumerate(found):
-        n, own = len(text), text.lower().split()
-        words += [row_of[w] for w in own]
-        counts.append(len(own))
-        out[k, :PATH_DIMS] = _path(path)
-        measures.append((min(n, 2000) / 500, math.log1p(n) / 4, linked / n, min(20, text.count(". ") + text.count(", ")) / 10, text[-1] in ".!?\"'", k / len(found), len(path) / 8, 1))
-    sums = np.add.reduceat(_WORD_SIGNS[words], np.cumsum([0, *counts[:-1]]), axis=0)
-    out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.clip(sums * (0.5 / np.sqrt(np.array(counts, np.float32)))[:, None], -1.5, 1.5)
-    out[:, -MEASURES:] = measures
+    row_of = _BUCKETS
+    for s in range(0, len(found), _AT_ONCE):
+        words, counts, measures = [], [], []
+        for k, (element, text, linked) in enumerate(found[s : s + _AT_ONCE], s):
+            n, sums, rest = len(text), np.zeros(8192, np.int64), text.lower()
+            if n > 1 << 16:  # a very long block is counted by bucket
+                own = 0
+                for w in _words(rest):
+                    sums[row_of[w]] += 1
+                    own += 1
+                out[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.clip((sums @ _WORD_SIGNS) * 0.5 / max(own, 1) ** 0.5, -1.5, 1.5)
+                counts.append(0)
+            else:
+                own = rest.split()
+                words += [row_of[w] for w in own]
+                counts.append(len(own))
+            out[k, :PATH_DIMS] = element.vector()
+            measures.append((min(n, 2000) / 500, math.log1p(n) / 4, linked / n, min(20, text.count(". ") + text.count(", ")) / 10, text[-1] in ".!?\"'", k / len(found), min(element.depth, 40) / 8, 1))
+        some = np.flatnonzero(counts)
+        if len(some):
+            n = np.array(counts)[some]
+            sums = np.add.reduceat(_WORD_SIGNS[words], np.cumsum([0, *n[:-1]]), axis=0)
+            out[s + some, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.clip(sums * (0.5 / np.sqrt(n.astype(np.float32)))[:, None], -1.5, 1.5)
+        out[s : s + _AT_ONCE, -MEASURES:] = measures
     return out
 
 
+def _words(text: str) -> Iterator[str]:
+    return (m[0] for m in re.finditer(r"\S+", text))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -201,11 +259,14 @@ class BiLstm:
 
     def _run(self, x, mask, d, keep):
         steps, size, _ = x.shape
-        gates = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
+        gates, base = np.zeros((0, 0), np.float32), None  # of as many steps as are worth a product
         h, c = np.zeros((size, HIDDEN), np.float32), np.zeros((size, HIDDEN), np.float32)
         out, kept = np.zeros((steps, size, HIDDEN), np.float32), {}
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            g = gates[t] + h @ self.w[f"h{d}"]
+            if t // _AT_ONCE != base:
+                base = t // _AT_ONCE
+                gates = x[base * _AT_ONCE : (base + 1) * _AT_ONCE] @ self.w[f"x{d}"] + self.w[f"c{d}"]
+            g = gates[t % _AT_ONCE] + h @ self.w[f"h{d}"]
             s = _sigmoid(g[:, : 3 * HIDDEN])
             i, f, o, n = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(g[:, 3 * HIDDEN :])
             new = f * c + i * n
@@ -387,16 +448,28 @@ def trained() -> BiLstm:
     return net
 
 
+def _groups(lengths: list[int]) -> Iterator[list[int]]:
+    """Numbers of pages by length, so many together that their padded steps stay within CELLS; a longer page is alone."""
+    group: list[int] = []
+    for k in sorted(range(len(lengths)), key=lengths.__getitem__):
+        if group and lengths[k] * (len(group) + 1) > CELLS:
+            yield group
+            group = []
+        group.append(k)
+    if group:
+        yield group
+
+
 def main_texts(net: BiLstm, pages: list[str | None]) -> list[str]:
     """The main text of each page, '' where there is none."""
     out = [""] * len(pages)
-    found = {k: b for k, p in enumerate(pages) if p and (b := blocks(p))}
-    order = sorted(found, key=lambda k: len(found[k]))
-    for s in range(0, len(order), 64):
-        group = order[s : s + 64]
-        chances = net.chances(*_padded([vectors(found[k]) for k in group]))
-        for b, k in enumerate(group):
-            out[k] = "\n".join(t for (_, t, _), c in zip(found[k], chances[:, b]) if c >= 0.5)
+    found = [blocks(p) if p else [] for p in pages]
+    for group in _groups([len(b) for b in found]):
+        if group := [k for k in group if found[k]]:
+            chances = net.chances(*_padded([vectors(found[k]) for k in group]))
+            for b, k in enumerate(group):
+                out[k] = "\n".join(t for (_, t, _), c in zip(found[k], chances[:, b]) if c >= 0.5)
+                found[k] = []
     return out
 
 
@@ -407,7 +480,6 @@ def extract(pages: DataFrame) -> DataFrame:
     markup; its blocks stand in page order, one in a line. Null, empty or text-free html gives ''.
     n_chars counts code points. Repeated rows give repeated results; null ids and urls stay null.
     """
-    small_batches(pages.sparkSession)
     net = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,4 +488,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("url").cast("string"), "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return pages.select("page_id", F.col("url").cast("string"), "html").mapInArrow(over_texts(run, 2), f"page_id {kind}, url string, text string, n_chars long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import small_batches
+from gleaner.llm.common import over_texts
 from gleaner.llm.html_extraction import blocks
 
 _NAMES = ("warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "payload_digest")
@@ -34,6 +34,9 @@ _ARROW = pa.schema([*((n, pa.string()) for n in _NAMES), ("block", pa.binary()),
 
 
 _LINE_END = re.compile(r"[\r\n]+")
+_CHARSET = re.compile(rb"<meta[^>]{0,1000}?charset\s*=\s*[\"']?\s*([\w-]+)|<\?xml[^>]{0,1000}?encoding\s*=\s*[\"']([\w-]+)", re.I)
+#: Bytes of a file that are unpacked at once, and bytes of records that leave the reader at once.
+_STEP, _OUT = 1 << 16, 8 << 20
 
 
 def digest(data: bytes) -> str:
@@ -82,12 +85,16 @@ def _dechunked(data: bytes) -> bytes:
 
 
 def plain_text(payload: bytes, content_type: str) -> str:
-    """The visible text, one block in a line; of other content than HTML the text itself, of binary content nothing."""
-    charset = re.search(r"charset=[\"']?([\w-]+)", content_type, re.I) or re.search(rb"charset=[\"']?([\w-]+)", payload[:2048], re.I)
-    name = charset[1] if charset else "utf-8"
+    """The visible text, one block in a line; of other content than HTML the text itself, of binary content nothing.
+
+    The characters are read by the charset that the header names, else by the first one that the payload itself
+    declares, else as UTF-8."""
+    charset = re.search(r"charset=[\"']?([\w-]+)", content_type, re.I)
+    declared = None if charset else _CHARSET.search(payload)
+    name = charset[1] if charset else (declared[1] or declared[2]).decode() if declared else "utf-8"
     try:
-        text = payload.decode(name if isinstance(name, str) else name.decode(), "replace")
-    except LookupError:
+        text = payload.decode(name, "replace")
+    except (LookupError, ValueError):
         text = payload.decode("utf-8", "replace")
     kind = content_type.lower()
     if "html" in kind or "xml" in kind or not kind:
@@ -121,7 +128,6 @@ def derive(records: DataFrame, keep: str | None = None) -> DataFrame:
     from the source. A response with a null or empty block gives an empty conversion; a repeated one
     gives repeated rows. Records of other types give nothing. keep names a column to carry along.
     """
-    small_batches(records.sparkSession)
     schema = T.StructType([*([records.schema[keep]] if keep else []), *RECORD.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,17 +144,19 @@ def derive(records: DataFrame, keep: str | None = None) -> DataFrame:
             yield out
 
     chosen = records.where("warc_type = 'response'").select(*([keep] if keep else []), *RECORD.names)
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(over_texts(run), schema)
+
 
+def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """pages (page_id, url, html) as response records with page_id; a null html is an empty payload.
 
-def responses(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) as response records with page_id; a null html is an empty payload."""
+    pages does not say when a page was fetched: all records carry the given date."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body), F.lit("\r\n\r\n"))
     h = F.md5(F.concat_ws(" ", F.col("page_id").cast("string"), "url").cast("binary"))
     urn = F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
     none = F.lit(None).cast("string")
-    return pages.select("page_id", F.lit("response").alias("warc_type"), urn.alias("record_id"), none.alias("refers_to"), F.col("url").cast("string").alias("target_uri"), F.lit("1970-01-01T00:00:00Z").alias("date"), F.lit("application/http; msgtype=response").alias("content_type"), none.alias("block_digest"), none.alias("payload_digest"), F.concat(head.cast("binary"), body).alias("block"), F.array().cast(RECORD["headers"].dataType).alias("headers"))
+    return pages.select("page_id", F.lit("response").alias("warc_type"), urn.alias("record_id"), none.alias("refers_to"), F.col("url").cast("string").alias("target_uri"), F.lit(date).alias("date"), F.lit("application/http; msgtype=response").alias("content_type"), none.alias("block_digest"), none.alias("payload_digest"), F.concat(head.cast("binary"), body).alias("block"), F.array().cast(RECORD["headers"].dataType).alias("headers"))
 
 
 def written(r: dict) -> bytes:
@@ -160,22 +168,83 @@ def written(r: dict) -> bytes:
     return gzip.compress(raw, 6, mtime=0)
 
 
-def parsed(data: bytes) -> Iterator[dict]:
-    """The records of a file, packed or not. A file that breaks off gives the records before that."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (found := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", found)
-        if end < 0:
+def _unpacked(data: memoryview) -> Iterator[bytes]:
+    """The bytes of a file, a step at a time, out of gzip members or as they are; up to the first damaged one."""
+    at, size = 0, len(data)
+    if bytes(data[:2]) != b"\x1f\x8b":
+        while at < size:
+            yield bytes(data[at : at + _STEP])
+            at += _STEP
+        return
+    while at < size:
+        member = zlib.decompressobj(31)
+        while not member.eof and at < size:
+            part = data[at : at + _STEP]
+            at += len(part)
+            try:
+                while part and not member.eof:
+                    yield member.decompress(part, _STEP * 16)
+                    part = member.unconsumed_tail
+            except zlib.error:
+                return
+        if not member.eof:
+            yield member.flush()
+        at -= len(member.unused_data)
+        while at < size and data[at] == 0:  # padding between members
+            at += 1
+
+
+class _Stream:
+    """Bytes that come in steps: holds what was read ahead and not yet taken."""
+
+    def __init__(self, steps: Iterator[bytes]):
+        self.steps, self.held = steps, bytearray()
+
+    def more(self) -> bool:
+        step = next(self.steps, None)
+        self.held += step or b""
+        return step is not None
+
+    def upto(self, mark: bytes) -> bytes | None:
+        """What comes before a mark, which is skipped; None, and nothing is held, if there is none."""
+        seen = 0
+        while (at := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return None
+        out = bytes(self.held[:at])
+        del self.held[: at + len(mark)]
+        return out
+
+    def skip_to(self, mark: bytes) -> bool:
+        """Drop what comes before a mark."""
+        while (at := self.held.find(mark)) < 0:
+            del self.held[: max(0, len(self.held) - len(mark) + 1)]
+            if not self.more():
+                return False
+        del self.held[:at]
+        return True
+
+    def take(self, size: int) -> bytes | None:
+        """So many bytes; None if fewer follow."""
+        while len(self.held) < size:
+            if not self.more():
+                return None
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        return out
+
+
+def parsed(data: bytes | memoryview) -> Iterator[dict]:
+    """The records of a file, packed or not, one at a time. A file that breaks off, or a damaged member in it,
+    gives the records before that. Of the unpacked file no more than a record and a step are held."""
+    stream = _Stream(_unpacked(memoryview(data)))
+    while stream.skip_to(b"WARC/"):
+        head = stream.upto(b"\r\n\r\n")
+        if head is None:
             return
         fields: list[tuple[str, str]] = []
-        for line in data[found:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
             if line[:1] in (" ", "\t") and fields:
                 fields[-1] = fields[-1][0], f"{fields[-1][1]} {line.strip()}"
             elif ":" in line:
@@ -190,25 +259,26 @@ def parsed(data: bytes) -> Iterator[dict]:
                 record[column] = value
             else:
                 record["headers"].append({"name": name, "value": value})
-        if end + 4 + size > len(data):
+        block = stream.take(size)
+        if block is None:
             return
-        yield record | {"block": data[end + 4 : end + 4 + size]}
-        at = end + 4 + size
+        yield record | {"block": block}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the files at path; a file is read by one task."""
-    small_batches(spark)
+    """All records of the files at path. A file is read by one task, which holds it as it is packed (files of
+    up to 2 GB, the limit of Spark's binary files) and its records some MB at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = []
-                for r in parsed(data.as_py()):
+                rows, size = [], 0
+                for r in parsed(memoryview(data.as_buffer())):
                     rows.append(r)
-                    if len(rows) == 256:
+                    size += len(r["block"])
+                    if len(rows) == 256 or size >= _OUT:
                         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                        rows = []
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
@@ -216,10 +286,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def packed(records: DataFrame) -> DataFrame:
     """Each record as the bytes of a gzip member; members joined in any order are a file of the format."""
-    small_batches(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([written(r) for r in batch.to_pylist()], pa.binary())], names=["member"])
 
-    return records.select(*RECORD.names).mapInArrow(run, "member binary")
+    return records.select(*RECORD.names).mapInArrow(over_texts(run), "member binary")

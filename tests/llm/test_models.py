@@ -16,7 +16,7 @@ def test_blocks():
     page = "<title>no</title><body><nav class=menu><a href=x>Home</a></nav><p>A <b>b</b>&amp;c<br>d<p>e &lt;f&gt; &am<script>x<p></script><style>y</style><!-- <p>z --><ul><li>1<li>2</ul><div>t"
     found = html_extraction.blocks(page)
     assert [t for _, t, _ in found] == ["Home", "A b&c d", "e <f> &am", "1", "2", "t"]
-    assert found[0][2] == 4 and found[0][0][-1].split()[0] == "nav"
+    assert found[0][2] == 4 and found[0][0].marks[0] == "nav"
     assert html_extraction.blocks("") == [] and html_extraction.blocks("<<<>") != None  # noqa: E711
     assert html_extraction.blocks("a" * 300_000)[0][1] == "a" * 300_000
     assert html_extraction.blocks("<p " * 20_000) == []
