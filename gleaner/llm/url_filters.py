@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stage
+from gleaner.llm.common import numbered_columns, place_of, places_of, stage
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,28 +24,33 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> DataFrame:
     """pages (url, ...) with host, path, rule and verdict; all rows, other columns unchanged.
 
+    Columns of pages named host, path, rule or verdict are replaced; any other name may occur.
     rules has host, path and verdict (allow or block). A rule fits its host and all subdomains where the
-    URL's path starts with the rule's path; of the fitting rules the longest wins, of equal ones block.
-    Without one, rule is null and verdict is otherwise. Null urls and urls without :// have an empty
-    host and path, which no rule with a host fits. Empty tables are fine on either side.
+    URL's path starts with the rule's path; of the fitting rules the longest wins, of equally long ones one
+    that blocks, and of those the first by its text. Without one, rule is null and verdict is otherwise.
+    Null urls and urls without :// have an empty host and path, which no rule with a host fits. Empty
+    tables are fine on either side.
     """
-    kept = pages.drop("host", "path", "rule", "verdict")
-    host, path = host_and_path(F.col("url"))
-    rows = kept.withColumn("host", host).withColumn("path", path)
+    kept = places_of(pages, "host", "path", "rule", "verdict")
+    url = place_of(pages, "url")
+    host, path = host_and_path(F.col(url))
+    rows = numbered_columns(pages, kept).withColumn("host", host).withColumn("path", path)
     written = F.concat("host", "path")
     rules = rules.where("host is not null and host <> '' and path is not null").select(
-        written.alias("rule"), "verdict", F.sha2(written, 256).alias("digest"), F.size(F.split("host", "\\.")).alias("labels"), F.length("path").alias("length")
+        written.alias("rule"), "verdict", F.sha2(F.concat_ws("\n", "host", "path"), 256).alias("digest"), F.size(F.split("host", "\\.")).alias("labels"), F.length("path").alias("length")
     )
-    rules = stage(rules.groupBy("rule", "digest", "labels", "length").agg(F.min(F.struct((F.col("verdict") != "block").alias("b"), "verdict"))["verdict"].alias("verdict")))
+    rules = stage(rules.groupBy("rule", "digest", "labels", "length").agg(F.min(F.struct((F.col("verdict") != "block").alias("b"), "verdict"))["verdict"].alias("verdict")), clear=False)
     shapes = rules.agg(F.collect_set("labels"), F.collect_set("length")).head()
     labels, lengths = (F.array(*map(F.lit, sorted(x))) if x else F.array().cast("array<int>") for x in shapes)
     parts = F.split("host", "\\.")
     hosts = F.transform(F.filter(labels, lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
     paths = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
     told = rows.select("host", "path").distinct().withColumn("h", F.explode(hosts)).withColumn("p", F.explode(paths))
-    told = told.select("host", "path", F.sha2(F.concat("h", "p"), 256).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
+    told = told.select("host", "path", F.sha2(F.concat_ws("\n", "h", "p"), 256).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
     met = told.join(rules.withColumn("short", F.substring("digest", 1, 8)).withColumnRenamed("digest", "whole"), "short").where("digest = whole")
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("best"))
+    rank = F.struct((-F.length("rule")).alias("n"), (F.col("verdict") != "block").alias("b"), "rule", "verdict")
+    best = met.groupBy("host", "path").agg(F.min(rank).alias("best"))
     best = best.withColumnsRenamed({"host": "_host", "path": "_path"})
     out = rows.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return out.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.verdict", F.lit(otherwise))).select(*kept.columns, "host", "path", "rule", "verdict")
+    out = out.select(*[f"_in{k}" for k in kept], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict"))
+    return out.toDF(*[pages.columns[k] for k in kept], "host", "path", "rule", "verdict")
