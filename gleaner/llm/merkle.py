@@ -2,10 +2,12 @@
 
 Leaves are pieces of a text: up to 64 characters and the sentence ends after them, so that pieces after
 an edit are the same again from the next sentence on. Leaves form paragraphs (lines), paragraphs form
-sections, which end where a paragraph's own hash says so, and sections form the root. Roots are equal
-just when texts are; where they differ, the branches that differ hold the edits.
+sections, which end where a paragraph's own hash says so, and sections form the root. Every node is the
+whole SHA-256 of its children's, so roots are equal just when texts are; where they differ, the branches
+that differ hold the edits, and edits goes down from the root along these alone.
 
-A fingerprint is written as root:sections:paragraphs:leaves, hashes within a level split by commas.
+A fingerprint is written as root:sections:paragraphs:leaves, the beginnings of hashes within a level
+split by commas; a semicolon follows the last leaf of a line.
 """
 
 from __future__ import annotations
@@ -17,23 +19,29 @@ from gleaner.llm.common import key, stage
 from gleaner.llm.ordering import followed
 
 _PIECE = "[^.!?|\\n]{1,64}[.!?|\\n]*|[.!?|\\n]+"
-#: A section ends after a paragraph whose hash begins with 0 or 1.
-_SECTION_END = "\\b([01][0-9a-f]{15},)"
+#: A section ends after a paragraph whose hash begins with 0 or 1. In a fingerprint hashes of inner nodes have
+#: INNER digits and those of leaves LEAF.
+_SECTION_END, INNER, LEAF = "\\b([01][0-9a-f]+,)", 16, 8
 
 
-def _hash(text: Column, digits: int) -> Column:
-    return F.substring(F.sha2(text.cast("binary"), 256), 1, digits)
+def _hash(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _short(hashes: Column, digits: int) -> Column:
+    """The beginnings of hashes."""
+    return F.regexp_replace(hashes, f"([0-9a-f]{{{digits}}})[0-9a-f]{{{64 - digits}}}", "$1")
 
 
 def _level(parts: Column) -> Column:
     """The hashes of some strings, empty ones left out, each with a comma after it."""
-    return F.array_join(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat(_hash(p, 16), F.lit(","))), "")
+    return F.array_join(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.concat(_hash(p), F.lit(","))), "")
 
 
 def _leaves(text: Column) -> Column:
     """The hashes of a text's pieces, each with a comma after it, or a line feed where a paragraph ends."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PIECE), F.lit(0))
-    return F.array_join(F.transform(pieces, lambda p: F.concat(_hash(p, 16), F.when(p.endswith("\n"), F.lit("\n")).otherwise(F.lit(",")))), "")
+    return F.array_join(F.transform(pieces, lambda p: F.concat(_hash(p), F.when(p.endswith("\n"), F.lit("\n")).otherwise(F.lit(",")))), "")
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -42,13 +50,13 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn(leaves, _leaves(F.col(text)))
     df = df.withColumn(paragraphs, _level(F.split(F.replace(F.col(leaves), F.lit("\n"), F.lit("\n;")), ";")))
     df = df.withColumn(sections, _level(F.split(F.regexp_replace(F.col(paragraphs), _SECTION_END, "$1;"), ";")))
-    short = F.regexp_replace(F.col(leaves), "([0-9a-f]{8})[0-9a-f]{8}[,\n]", "$1,")
-    df = df.withColumn(name, F.concat_ws(":", F.sha2(F.col(sections).cast("binary"), 256), sections, paragraphs, short))
+    short = F.translate(_short(F.col(leaves), LEAF), "\n", ";")
+    df = df.withColumn(name, F.concat_ws(":", _hash(F.col(sections)), _short(F.col(sections), INNER), _short(F.col(paragraphs), INNER), short))
     return df.drop(leaves, paragraphs, sections)
 
 
 def _part(fingerprint_: Column, level: int) -> Column:
-    return F.filter(F.split(F.split_part(fingerprint_, F.lit(":"), F.lit(level + 1)), ","), lambda h: h != "")
+    return F.filter(F.split(F.split_part(fingerprint_, F.lit(":"), F.lit(level + 1)), "[,;]"), lambda h: h != "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -59,14 +67,58 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.split_part(a, F.lit(":"), F.lit(1)) == F.split_part(b, F.lit(":"), F.lit(1)), F.lit(1.0)).otherwise(F.least(dice, F.lit(0.999999)))
 
 
-def edits(a: Column, b: Column) -> Column:
-    """Where tree b differs from tree a: numbers, from 0, of b's sections and paragraphs that a lacks."""
+def _filled(parts: Column) -> Column:
+    return F.filter(parts, lambda x: x != "")
+
+
+def _differing(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """How many leading elements two arrays share, and how many elements of each come between those and the
+    trailing ones that they share."""
 
-    def new(level: int) -> Column:
-        mine, old = _part(b, level), _part(a, level)
-        return F.filter(F.transform(mine, lambda h, k: F.when(~F.array_contains(old, h), k)), lambda k: k.isNotNull())
+    def shared(p: Column, q: Column, n: Column) -> Column:
+        at = F.array_position(F.zip_with(F.slice(p, F.lit(1), n), F.slice(q, F.lit(1), n), lambda u, v: u != v), True).cast("int")
+        return F.when(at > 0, at - 1).otherwise(n)
 
-    return F.struct(new(1).alias("sections"), new(2).alias("paragraphs"))
+    n = F.least(F.size(x), F.size(y))
+    front = shared(x, y, n)
+    back = shared(F.reverse(x), F.reverse(y), n - front)
+    return front, F.size(x) - front - back, F.size(y) - front - back
+
+
+def edits(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with where tree b differs from tree a, from the root down: a struct of section, sections,
+    old_sections, paragraph, paragraphs, old_paragraphs, leaf, leaves, old_leaves.
+
+    section is the number, from 0, of the first section that differs, sections how many of b's do and
+    old_sections in place of how many of a's; only paragraphs below these are compared, and only leaves
+    below paragraphs that differ. Left out, added, moved and replaced pieces lie within that range, and all
+    outside of it is equal. Equal trees have only zeros as counts.
+    """
+    cols = {c: f"_{name}_{c}" for c in ("sa", "sb", "s", "pa", "pb", "p", "p0", "la", "lb", "l", "l0")}
+    join = lambda parts, pattern: _filled(F.split(F.array_join(parts, ""), pattern))
+    triple = lambda x, y: F.array(*_differing(F.col(cols[x]), F.col(cols[y])))
+    cut = lambda parts, at, n: F.slice(parts, at + 1, n)
+    for tree, c in ((a, "sa"), (b, "sb")):  # a section is the text of its paragraphs' hashes
+        df = df.withColumn(cols[c], _filled(F.split(F.regexp_replace(F.split_part(F.col(tree), F.lit(":"), F.lit(3)), _SECTION_END, "$1;"), ";")))
+    df = df.withColumn(cols["s"], triple("sa", "sb"))
+    front, old, new = (F.col(cols["s"])[k] for k in range(3))
+    df = df.withColumn(cols["p0"], F.size(join(F.slice(cols["sa"], F.lit(1), front), ",")))
+    df = df.withColumn(cols["pa"], join(cut(F.col(cols["sa"]), front, old), ",")).withColumn(cols["pb"], join(cut(F.col(cols["sb"]), front, new), ","))
+    df = df.withColumn(cols["p"], triple("pa", "pb"))
+    start = F.col(cols["p0"]) + F.col(cols["p"])[0]
+    for tree, c, n in ((a, "la", 1), (b, "lb", 2)):  # a paragraph is the text of its leaves' hashes
+        lines = _filled(F.split(F.split_part(F.col(tree), F.lit(":"), F.lit(4)), "(?<=;)"))
+        if c == "la":
+            df = df.withColumn(cols["l0"], F.size(join(F.slice(lines, F.lit(1), start), "[,;]")))
+        df = df.withColumn(cols[c], join(cut(lines, start, F.col(cols["p"])[n]), "[,;]"))
+    df = df.withColumn(cols["l"], triple("la", "lb"))
+    s, p, l = (F.col(cols[c]) for c in ("s", "p", "l"))  # noqa: E741
+    found = F.struct(
+        s[0].alias("section"), s[2].alias("sections"), s[1].alias("old_sections"),
+        start.alias("paragraph"), p[2].alias("paragraphs"), p[1].alias("old_paragraphs"),
+        (F.col(cols["l0"]) + l[0]).alias("leaf"), l[2].alias("leaves"), l[1].alias("old_leaves"),
+    )
+    return df.withColumn(name, found).drop(*cols.values())
 
 
 def compared_with_next(docs: DataFrame) -> DataFrame:

@@ -79,17 +79,22 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compared_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _short_sql(hashes: str, digits: int) -> str:
+    return f"regexp_replace({hashes}, '([0-9a-f]{{{digits}}})[0-9a-f]{{{64 - digits}}}', '\\1', 'g')"
+
+
 def _tree_sql(source: str, columns: str) -> str:
+    inner, leaf = merkle.INNER, merkle.LEAF
     return f"""
-  SELECT {columns}, sha256(sections) || ':' || sections || ':' || paragraphs || ':' || regexp_replace(leaves, '([0-9a-f]{{8}})[0-9a-f]{{8}}[,\\n]', '\\1,', 'g') AS tree
-  FROM (SELECT {columns}, leaves, paragraphs, array_to_string(list_transform(list_filter(string_split(regexp_replace(paragraphs, '\\b([01][0-9a-f]{{15}},)', '\\1;', 'g'), ';'), lambda s: s <> ''), lambda s: substr(sha256(s), 1, 16) || ','), '') AS sections
-  FROM (SELECT {columns}, leaves, array_to_string(list_transform(list_filter(string_split(replace(leaves, chr(10), chr(10) || ';'), ';'), lambda s: s <> ''), lambda s: substr(sha256(s), 1, 16) || ','), '') AS paragraphs
-  FROM (SELECT {columns}, array_to_string(list_transform(regexp_extract_all(body, '[^.!?|\\n]{{1,64}}[.!?|\\n]*|[.!?|\\n]+'), lambda p: substr(sha256(p), 1, 16) || CASE WHEN ends_with(p, chr(10)) THEN chr(10) ELSE ',' END), '') AS leaves
+  SELECT {columns}, sha256(sections) || ':' || {_short_sql("sections", inner)} || ':' || {_short_sql("paragraphs", inner)} || ':' || translate({_short_sql("leaves", leaf)}, chr(10), ';') AS tree
+  FROM (SELECT {columns}, leaves, paragraphs, array_to_string(list_transform(list_filter(string_split(regexp_replace(paragraphs, '\\b([01][0-9a-f]+,)', '\\1;', 'g'), ';'), lambda s: s <> ''), lambda s: sha256(s) || ','), '') AS sections
+  FROM (SELECT {columns}, leaves, array_to_string(list_transform(list_filter(string_split(replace(leaves, chr(10), chr(10) || ';'), ';'), lambda s: s <> ''), lambda s: sha256(s) || ','), '') AS paragraphs
+  FROM (SELECT {columns}, array_to_string(list_transform(regexp_extract_all(body, '[^.!?|\\n]{{1,64}}[.!?|\\n]*|[.!?|\\n]+'), lambda p: sha256(p) || CASE WHEN ends_with(p, chr(10)) THEN chr(10) ELSE ',' END), '') AS leaves
   FROM {source})))"""
 
 
 def _likeness_sql(a: str, b: str) -> str:
-    x, y = (f"list_distinct(list_filter(string_split(split_part({t}, ':', 4), ','), lambda h: h <> ''))" for t in (a, b))
+    x, y = (f"list_distinct(list_filter(string_split(translate(split_part({t}, ':', 4), ';', ','), ','), lambda h: h <> ''))" for t in (a, b))
     return f"CASE WHEN split_part({a}, ':', 1) = split_part({b}, ':', 1) THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE least(2.0 * len(list_intersect({x}, {y})) / CAST(len({x}) + len({y}) AS DOUBLE), 0.999999) END"
 
 

@@ -102,8 +102,9 @@ def test_trees(spark):
     f = {r.k: r.f for r in df.collect()}
     assert f[0] == f[1] and f[2] == f[3] and len({f[k] for k in (1, 2, 4, 5, 6, 7)}) == 6
     pair = spark.createDataFrame([(f[4], f[5]), (f[2], f[3]), (f[0], f[1]), (f[0], f[2])], "a string, b string")
-    got = pair.select(merkle.likeness(pair.a, pair.b).alias("n"), merkle.edits(pair.a, pair.b).alias("e")).collect()
-    assert [round(r.n, 3) for r in got] == [0.667, 1, 1, 0] and got[0].e.paragraphs == [1] and got[1].e.paragraphs == []
+    got = merkle.edits(pair, "a", "b", "e").withColumn("n", merkle.likeness(pair.a, pair.b)).collect()
+    assert [round(r.n, 3) for r in got] == [0.667, 1, 1, 0]
+    assert [(r.e.paragraph, r.e.paragraphs, r.e.leaf, r.e.leaves, r.e.old_leaves) for r in got] == [(1, 1, 1, 1, 1), (1, 0, 1, 0, 0), (0, 0, 0, 0, 0), (0, 1, 0, 1, 0)]
 
 
 def test_edits_with_the_next_document(spark):
