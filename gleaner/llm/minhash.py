@@ -9,11 +9,13 @@ A pair with a similarity of 0.75 agrees in a band of 5 values with a chance of 0
 the 48 bands with one of 2e-6.
 
 Texts with equal shingle sets form a class first; classes, not documents, are the nodes of the graph, so
-ids play no part in it. One text stands for a class from there on. In a bucket every class is compared with one pivot, whole set against whole set, never all with all. Where
-a bucket then holds several components, classes go that can't be linked across: those with less than
-75 in 100 of their shingles in other components. Of the rest, those outside their bucket's largest
-component are a query set that meets all others in blocks, by an index of their shingles; only links come
-out of that. So no link is lost and no bucket is capped.
+ids play no part in it. One text stands for a class from there on. In a bucket every class is compared
+with one pivot, whole set against whole set, never all with all. Where a bucket then holds several
+components, classes go that can't be linked across: those with less than 75 in 100 of their shingles in
+other components. Of the rest, those outside their bucket's largest component are queries. Buckets that
+share classes form a neighbourhood, and the queries of a neighbourhood meet its classes in blocks of
+bounded size, by an index of the queries' shingles; only links come out of that. So no link is lost, no
+bucket is capped, and the work is the same at every size of the corpus.
 """
 
 from __future__ import annotations
@@ -26,13 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import NULL_ID, SIMILAR_PERCENT, components, is_empty, key, mix, small_batches, stage, utf8
+from gleaner.llm.common import NULL_ID, SIMILAR_PERCENT, components, freed, is_empty, key, mix, numbered_columns, over_texts, place_of, sliced, stage, utf8
 from gleaner.llm.shingles import shingle_sets
 
 PERMUTATIONS, ROWS, BANDS = 120, 5, 48
-#: Shingles of open classes that meet all others at once, and the number of such blocks up to which they
-#: do; where there are more, another pivot is taken first.
-BLOCK, BLOCKS = 500_000, 8
+#: Shingles of queries, and of the classes that they meet, in one block.
+BLOCK = 500_000
 _CHUNK, _AT_ONCE = 4096, 24
 
 
@@ -112,7 +113,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [unpack.decompress(x) for x in packed]
         return shingle_sets(np.frombuffer(b"".join(texts) + bytes(512), np.uint8), np.cumsum([0, *map(len, texts)]))
 
-    for batch in batches:
+    for batch in sliced(batches):
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         mine, keep = sets(batch.column("packed_a").to_pylist()), []
         for k, packed in enumerate(batch.column("packed_b")):
@@ -139,7 +140,7 @@ def _open(rest: DataFrame) -> DataFrame:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in sliced(batches, "packed"):
         texts = [unpack.decompress(x) for x in batch.column("packed").to_pylist()]
         sets = shingle_sets(np.frombuffer(b"".join(texts) + bytes(512), np.uint8), np.cumsum([0, *map(len, texts)]))
         offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -167,52 +168,84 @@ class _Index:
         self.last = np.r_[self.first[1:], len(every)]
 
     def links(self, doc: int, component: int, shingles: np.ndarray) -> np.ndarray:
-        """The queries of other components that are similar enough to a set."""
+        """The queries of other components that are similar enough to a set.
+
+        A partner lacks at most a quarter of the set, so it holds one of any quarter and one more of its
+        shingles: those that the fewest queries hold say whether there can be one."""
         at = np.searchsorted(self.keys, shingles)
         at[at == len(self.keys)] = 0
         at = at[self.keys[at] == shingles]
         n = self.last[at] - self.first[at]
-        places = np.repeat(self.first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(at) else at
-        both = np.bincount(self.owner[places], minlength=len(self.docs))
+        spare = len(shingles) - -(-SIMILAR_PERCENT * len(shingles) // 100) - (len(shingles) - len(at))
+        none = np.zeros(0, np.int64)
+        if spare < 0 or not len(at):
+            return none
+        few = np.argpartition(n, min(spare, len(n) - 1))[: spare + 1]
+        if not self._suits(self._owners(at[few], n[few]), doc, component, len(shingles)).any():
+            return none
+        both = np.bincount(self._owners(at, n), minlength=len(self.docs))
         good = (both > 0) & ((100 + SIMILAR_PERCENT) * both >= SIMILAR_PERCENT * (self.sizes + len(shingles)))
         return np.flatnonzero(good & (self.components != component) & (self.docs != doc))
 
-
-def _found(queries: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of queries to sets of other components, one for a query, a component and a batch. Queries come
-    in blocks of bounded size, and each block meets all sets."""
-
-    def against(index: _Index) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                docs, parts, pairs = batch.column("doc").to_pylist(), batch.column("component").to_pylist(), {}
-                for k, shingles in enumerate(batch.column("shingles")):
-                    for q in index.links(docs[k], parts[k], np.asarray(shingles.values)):
-                        pairs.setdefault((int(q), parts[k]), (int(index.docs[q]), docs[k]))
-                a, b = zip(*pairs.values()) if pairs else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        return sets.mapInArrow(run, "a long, b long")
-
-    out, rows, size = None, [], 0
-    for r in queries.toLocalIterator():
-        rows.append((r["doc"], r["component"], np.array(r["shingles"], np.int64)))
-        size += len(r["shingles"])
-        if size >= BLOCK:
-            more = stage(against(_Index(rows)))
-            out, rows, size = more if out is None else out.union(more), [], 0
-    if rows:
-        more = stage(against(_Index(rows)))
-        out = more if out is None else out.union(more)
-    return out
+    def _owners(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The queries that hold some shingles, once for each."""
+        return self.owner[np.repeat(self.first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+
+    def _suits(self, q: np.ndarray, doc: int, component: int, size: int) -> np.ndarray:
+        """Whether queries may be partners of a set, by component and size."""
+        sizes = self.sizes[q]
+        return (self.components[q] != component) & (self.docs[q] != doc) & (100 * np.minimum(sizes, size) >= SIMILAR_PERCENT * np.maximum(sizes, size))
+
+
+def _met(key: tuple, queries: pa.Table, sets: pa.Table) -> pa.Table:
+    """Links of a block of queries to a block of sets, one for a query and a component."""
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    if len(queries) and len(sets):
+        index = _Index([(d, c, np.asarray(x.values)) for d, c, x in zip(queries["doc"].to_pylist(), queries["component"].to_pylist(), queries["shingles"])])
+        for doc, component, shingles in zip(sets["doc"].to_pylist(), sets["component"].to_pylist(), sets["shingles"]):
+            for q in index.links(doc, component, np.asarray(shingles.values)):
+                found.setdefault((int(q), component), (int(index.docs[q]), doc))
+    a, b = zip(*found.values()) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _neighbourhoods(rest: DataFrame) -> DataFrame:
+    """(doc, around) for the classes of rest (bucket, doc, ...): the same around for all that buckets connect."""
+    least = rest.groupBy("bucket").agg(F.min("doc").alias("b"))
+    found = components(rest.join(least, "bucket").select(F.col("doc").alias("a"), "b"))
+    return found.select(F.col("id").alias("doc"), F.col("component").alias("around"))
+
+
+def _found(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of queries to sets of other components, one for a query, a component and a block.
+
+    rest has bucket, doc, component and main. Queries and sets of a neighbourhood are dealt to blocks of
+    about BLOCK shingles by a hash, and each block of queries meets each block of sets; small neighbourhoods
+    share a block. Every block is a task's work and nothing passes through the driver."""
+    asks = rest.groupBy("doc").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("asks"))
+    near = sets.join(_neighbourhoods(rest), "doc").join(asks, "doc").withColumn("size", F.size("shingles").cast("long"))
+    near = stage(near)
+    sums = near.groupBy("around").agg(F.sum(F.col("asks") * F.col("size")).alias("q"), F.sum("size").alias("s")).where("q > 0")
+    parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("long")
+    sums = sums.select("around", parts("q").alias("nq"), parts("s").alias("ns"), "s")
+    small = sums.where("ns = 1").agg(F.sum("s")).head()[0] or 0
+    shared = F.pmod(F.xxhash64("around"), F.lit(-(-small // BLOCK) or 1))
+    plan = stage(sums.select("around", "nq", "ns", F.when(F.col("ns") == 1, shared).otherwise(F.col("around")).alias("block"), (F.col("ns") == 1).alias("small")), clear=False)
+    near = near.join(plan, "around")
+    dealt = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = near.where("asks = 1").select("small", "block", dealt("nq").alias("k"), every("ns").alias("j"), "doc", "component", "shingles")
+    others = near.select("small", "block", every("nq").alias("k"), dealt("ns").alias("j"), "doc", "component", "shingles")
+    others = others.toDF(*others.columns)  # columns of its own, not those of queries
+    by = ["small", "block", "k", "j"]
+    return stage(queries.groupBy(*by).cogroup(others.groupBy(*by)).applyInArrow(_met, "a long, b long"))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
     """Rows (doc, tie, doc_id, n_shingles, first, kept) of docs: key and text hash of a row and of the first
     document of its component, by doc_id and then by hash."""
-    small_batches(docs.sparkSession)
     source = docs.select(key(F.col("doc_id")).alias("doc"), "text", F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"))
-    signed = stage(source.mapInArrow(_signatures, _SIGNED))
+    signed = stage(source.mapInArrow(over_texts(_signatures, 1), _SIGNED))
     some = signed.where("n_shingles > 0")
     classes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc", "tie")).alias("first"), F.first("n_shingles").alias("n"))
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()))
@@ -222,32 +255,24 @@ def _marked(docs: DataFrame) -> DataFrame:
     members = stage(members.join(shared, "bucket", "left_semi"))
     ids = members.select(F.col("doc").alias("node")).distinct()
     ids = stage(classes.join(ids, "node", "left_semi").select(F.col("first.doc").alias("of"), F.col("first.tie").alias("tie"), F.col("node").alias("doc")))
-    texts = source.select("doc", "text", "tie").mapInArrow(_packed, "of long, tie long, packed binary")
+    texts = source.select("doc", "text", "tie").mapInArrow(over_texts(_packed, 1), "of long, tie long, packed binary")
     texts = stage(texts.join(ids, ["of", "tie"]).select("doc", "packed").dropDuplicates(["doc"]))
     fits = f"100 * least(n, pn) >= {SIMILAR_PERCENT} * greatest(n, pn)"
-    links = None
-    while True:
-        pivots = stage(members.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("p")).select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn")))
-        rest = members.join(pivots, "bucket").where("doc <> pivot")
-        found = _links(rest.where(fits).select(F.col("doc").alias("a"), F.col("pivot").alias("b")), texts)
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        links = joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        rest = rest.select("bucket", "doc", "n").join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
-        rest = _open(stage(rest))
-        if is_empty(rest):
-            break
-        docs = stage(rest.select("doc", "component").distinct())
-        sets = stage(texts.join(docs, "doc").select("doc", "component", "packed").mapInArrow(_sets, "doc long, component long, shingles array<long>"))
+    pivots = stage(members.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("p")).select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn")))
+    rest = members.join(pivots, "bucket").where("doc <> pivot")
+    links = _links(rest.where(fits).select(F.col("doc").alias("a"), F.col("pivot").alias("b")), texts)
+    joined = components(links)
+    rest = rest.select("bucket", "doc").join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+    rest = _open(stage(rest))
+    freed(shared, members, ids, pivots)
+    if not is_empty(rest):
+        ask = rest.select("doc", "component").distinct()
+        sets = stage(texts.join(ask, "doc").select("doc", "component", "packed").mapInArrow(_sets, "doc long, component long, shingles array<long>"))
         rest = _open(stage(rest.drop("main").join(_able(sets), "doc", "left_semi")))
-        if is_empty(rest):
-            break
-        members = rest.select("bucket", "doc", "n")
-        queries = stage(sets.join(rest.where("component <> main").select("doc").distinct(), "doc", "left_semi"))
-        if (queries.agg(F.sum(F.size("shingles"))).head()[0] or 0) <= BLOCKS * BLOCK:
-            found = _found(queries, stage(sets.join(rest.select("doc").distinct(), "doc", "left_semi")))
-            joined = components(stage(links.union(found)))
-            break
+        if not is_empty(rest):
+            joined = components(stage(joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(_found(rest, sets))))
+        freed(sets)
+    freed(texts, links)
     tops = joined.join(classes.select(F.col("node").alias("id"), "first"), "id").groupBy("component").agg(F.min("first").alias("top"))
     tops = joined.join(tops, "component").select(F.col("id").alias("node"), "top")
     of_class = stage(classes.join(tops, "node", "left").select("d1", "d2", F.coalesce("top", "first").alias("first")))
@@ -274,10 +299,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, all columns as they were; of rows with one doc_id and one text, one stays."""
-    marks = stage(_marked(docs).where("kept").select(F.col("doc").alias("_doc"), F.col("tie").alias("_with")))
-    out = docs.withColumn("_tie", F.xxhash64("text"))
-    out = out.join(marks.distinct(), (key(out["doc_id"]) == F.col("_doc")) & (F.col("_tie") == F.col("_with")), "left_semi")
-    if not is_empty(marks.groupBy("_doc", "_with").count().where("count > 1").limit(1)):
-        out = out.dropDuplicates(["doc_id", "_tie"])
-    return out.drop("_tie")
+    """The rows of docs that near_duplicates keeps, all columns as they were; of rows with one doc_id and one
+    text one stays, that with the smallest hash of its simple columns."""
+    marks = stage(_marked(docs).where("kept").select("doc", "tie"))
+    names = [f"_in{k}" for k in range(len(docs.columns))]
+    out = numbered_columns(docs, list(range(len(names))))
+    out = out.withColumn("of", key(F.col(place_of(docs, "doc_id")))).withColumn("with", F.xxhash64(place_of(docs, "text")))
+    out = out.join(marks.distinct(), (F.col("of") == F.col("doc")) & (F.col("with") == F.col("tie")), "left_semi")
+    if not is_empty(marks.groupBy("doc", "tie").count().where("count > 1").limit(1)):
+        simple = [n for n, field in zip(names, docs.schema.fields) if "map<" not in field.dataType.simpleString()]
+        out = out.groupBy("of", "with").agg(F.min_by(F.struct(*names), F.xxhash64(*simple)).alias("row")).select("row.*")
+    return out.select(*names).toDF(*docs.columns)
