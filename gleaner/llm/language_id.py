@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import key, small_batches, stage, wider
+from gleaner.llm.common import key, over_texts, stage, wider
 
-DIMS, LONGEST = 1 << 13, 3
+DIMS, LONGEST = 1 << 14, 3
 #: The weights come from so many documents, those whose ids hash lowest, and from as many of each language, so that
 #: none is left out; each fifth of these fits the temperature.
 TRAIN_ROWS, OF_EACH = 2500, 50
@@ -53,11 +53,11 @@ def counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         points = np.where(letter, points, 32)
         points = points[np.r_[True, letter[1:] | letter[:-1]]]
         points = np.r_[np.uint32(32), points, np.uint32(32)].astype(np.uint64)
-        found = np.zeros(DIMS, np.int64)
-        h = np.zeros(len(points), np.uint64)
+        found, h = [], np.zeros(len(points), np.uint64)
         for n in range(1, LONGEST + 1):
             h = (h[: len(points) - n + 1] * _FACTORS[0] + points[n - 1 :] * _FACTORS[1]) & np.uint64(0xFFFFFFFF)
-            found += np.bincount(((h * _FACTORS[2] + np.uint64(n)) >> np.uint64(7)).astype(np.int64) & (DIMS - 1), minlength=DIMS)
+            found.append(((h * _FACTORS[2] + np.uint64(n)) >> np.uint64(7)).astype(np.int64) & (DIMS - 1))
+        found = np.bincount(np.concatenate(found), minlength=DIMS)
         at = np.flatnonzero(found)
         yield at, found[at].astype(float)
 
@@ -120,8 +120,7 @@ def learn(docs: DataFrame) -> Ftrl:
     """A model of the languages in docs (doc_id, text, lang). Document frequencies come from all rows that
     are not held out and have a text and a lang; weights from a bounded sample of them that has rows of
     every language."""
-    small_batches(docs.sparkSession)
-    taught = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out()).select(key(F.col("doc_id")).alias("doc"), "text", "lang")
+    taught = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out()).select(key(F.col("doc_id")).alias("doc"), "text", "lang", F.xxhash64("text").alias("tie"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, found = 0, np.zeros(DIMS, np.int64)
@@ -132,22 +131,23 @@ def learn(docs: DataFrame) -> Ftrl:
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[total, found[some]])], names=["feature", "n"])
 
-    known = {r["feature"]: r["n"] for r in taught.select("text").mapInArrow(frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    known = {r["feature"]: r["n"] for r in taught.select("text").mapInArrow(over_texts(frequencies, 0), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     total, df = known.pop(-1, 0), np.zeros(DIMS)
     for k, n in known.items():
         df[k] = n
-    some = taught.select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(TRAIN_ROWS)
-    letters = taught.where(F.col("text").rlike("\\p{L}")).select("doc", "lang").distinct()
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc"), "doc"))
-    of_each = letters.withColumn("k", place).where(F.col("k") <= OF_EACH).select("doc")
-    chosen = stage(some.union(of_each).distinct())
+    each = taught.where(F.col("text").rlike("\\p{L}")).select("doc", "tie", "lang").distinct()
+    order = F.xxhash64("doc"), "doc", "tie"
+    some = each.orderBy(*order, "lang").limit(TRAIN_ROWS)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    of_each = each.withColumn("k", place).where(F.col("k") <= OF_EACH).drop("k")
+    chosen = stage(some.union(of_each.select(*some.columns)).distinct(), clear=False)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(counts(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary())], names=["doc", "lang", "at", "n"])
 
-    rows = taught.join(F.broadcast(chosen), "doc").select("doc", "text", "lang").mapInArrow(features, "doc long, lang string, at binary, n binary").collect()
+    rows = taught.join(F.broadcast(chosen), ["doc", "tie", "lang"]).select("doc", "text", "lang").distinct().mapInArrow(over_texts(features, 1), "doc long, lang string, at binary, n binary").collect()
     rows = sorted((r["doc"], r["lang"], bytes(r["at"]), bytes(r["n"])) for r in rows if len(r["at"]))
     languages = sorted({r[1] for r in rows})
     model = Ftrl(languages, np.log((1 + total) / (1 + df)) + 1)
@@ -157,7 +157,6 @@ def learn(docs: DataFrame) -> Ftrl:
 def identify(docs: DataFrame, model: Ftrl) -> DataFrame:
     """docs with lang_pred and score (0 to 1). A text that is null or has no letter is 'und' with score 0.
     All columns but text only pass through."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,4 +164,4 @@ def identify(docs: DataFrame, model: Ftrl) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(chances, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     kept = docs.select(*[c for c in docs.columns if c.lower() not in ("lang_pred", "score")])
-    return kept.mapInArrow(run, wider(kept, lang_pred="string", score="double"))
+    return kept.mapInArrow(over_texts(run, kept.columns.index("text")), wider(kept, lang_pred="string", score="double"))

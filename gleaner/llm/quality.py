@@ -12,14 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import key, small_batches, stage, utf8, wider
+from gleaner.llm.common import key, over_texts, stage, utf8, wider
 from gleaner.llm.shingles import words
 
-#: The model learns from at most so many labelled documents, those whose ids hash lowest.
-TRAIN_ROWS = 4000
+#: The model learns from at most so many labelled documents, those whose ids hash lowest, and of these from as
+#: many as have so many bytes of text together.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
 PASSAGE_WORDS, HIDDEN, GATE, EPOCHS, BATCH, SEED = 40, 24, 12, 12, 64, 5
 THRESHOLD = 0.3
 _BUCKETS = 32
@@ -140,8 +141,8 @@ class GatedAttention:
 
 def learn(docs: DataFrame, labels: DataFrame) -> GatedAttention:
     """The network, learnt from labels (doc_id, quality) of documents that are not held out. Of several
-    labels of one document the highest counts, null ones do not. Without any it scores all alike."""
-    small_batches(docs.sparkSession)
+    labels of one document the highest counts, null ones do not. A text that rows repeat teaches once. Without
+    any label it scores all alike."""
     marked = labels.where("quality is not null and doc_id is not null").where(~held_out())
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max(F.col("quality").cast("int")).alias("y"))
     chosen = stage(marked.orderBy(F.xxhash64("doc"), "doc").limit(TRAIN_ROWS))
@@ -151,8 +152,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> GatedAttention:
             x, own = passages(*utf8(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[a:b].tobytes() for a, b in zip(own[:-1], own[1:])], pa.binary())], names=["doc", "y", "x"])
 
-    texts = docs.select(key(F.col("doc_id")).alias("doc"), "text").join(F.broadcast(chosen), "doc").select("doc", "y", "text")
-    rows = sorted((r["doc"], bytes(r["x"]), r["y"]) for r in texts.mapInArrow(features, "doc long, y int, x binary").collect())
+    texts = docs.select(key(F.col("doc_id")).alias("doc"), "text", F.xxhash64("text").alias("tie")).join(F.broadcast(chosen), "doc")
+    order = Window.orderBy(F.xxhash64("doc"), "doc", "tie")
+    each = texts.groupBy("doc", "tie").agg(F.max("y").alias("y"), F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    each = each.orderBy(F.xxhash64("doc"), "doc", "tie").limit(TRAIN_ROWS).withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= TRAIN_BYTES)
+    taught = texts.join(F.broadcast(stage(each.select("doc", "tie"), clear=False)), ["doc", "tie"]).select("doc", "y", "text")
+    rows = sorted({(r["doc"], bytes(r["x"]), r["y"]) for r in taught.dropDuplicates().mapInArrow(over_texts(features, 2), "doc long, y int, x binary").collect()})
     net = GatedAttention(SEED)
     if rows:
         net.fit([np.frombuffer(x, np.float32).reshape(-1, DIMS) for _, x, _ in rows], np.array([y for *_, y in rows], float))
@@ -162,7 +167,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> GatedAttention:
 def score(docs: DataFrame, net: GatedAttention, name: str = "score") -> DataFrame:
     """docs with a column (replaced where there is one of that name), 0 to 1: the likelihood of a good document. Every text, empty and null
     ones too, has a score; all columns but text only pass through."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,4 +174,4 @@ def score(docs: DataFrame, net: GatedAttention, name: str = "score") -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
 
     kept = docs.select(*[c for c in docs.columns if c.lower() != name])
-    return kept.mapInArrow(run, wider(kept, **{name: "double"}))
+    return kept.mapInArrow(over_texts(run, kept.columns.index("text")), wider(kept, **{name: "double"}))

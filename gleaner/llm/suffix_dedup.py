@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import key, mix, small_batches, stage, utf8
+from gleaner.llm.common import freed, key, mix, numbered_columns, over_texts, place_of, stage, utf8
 
 #: Length of a repeated string, and of the anchors in it.
 WINDOW, GRAM = 100, 32
@@ -204,12 +204,17 @@ def _resolve(units: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]
     """Units that repeat an earlier one, and units that must be refined (none on the last level)."""
     repeated = stage(units.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     units = stage(units.join(repeated, "core", "left_semi"))
+    freed(repeated)
     firsts = stage(units.groupBy("core", "whole").agg(F.min(F.struct("doc", "tie", "place")).alias("first")))
-    copies = units.join(firsts, ["core", "whole"]).where(F.struct("doc", "tie", "place") > F.col("first")).select("doc", "tie", "place")
+    copies = stage(units.join(firsts, ["core", "whole"]).where(F.struct("doc", "tie", "place") > F.col("first")).select("doc", "tie", "place"))
+    freed(units)
     if last:
-        return stage(copies), None
-    several = stage(firsts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
-    return stage(copies), stage(firsts.join(several, "core", "left_semi").select("first.doc", "first.tie", "first.place"))
+        freed(firsts)
+        return copies, None
+    several = firsts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    finer = stage(firsts.join(several, "core", "left_semi").select("first.doc", "first.tie", "first.place"))
+    freed(firsts)
+    return copies, finer
 
 
 def _by_text(places: DataFrame) -> DataFrame:
@@ -255,13 +260,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The packed texts of docs, and the places of repeated windows by text."""
-    small_batches(docs.sparkSession)
     source = docs.select(key(F.col("doc_id")).alias("doc"), "text", F.xxhash64("text").alias("tie"), F.col("doc_id").cast("long").alias("doc_id"))
-    packed = source.mapInArrow(_packed, _TEXT)
-    copies, refine = _resolve(source.select("doc", "text", "tie").mapInArrow(_level0, _UNIT), False)
+    packed = source.mapInArrow(over_texts(_packed, 1), _TEXT)
+    copies, refine = _resolve(source.select("doc", "text", "tie").mapInArrow(over_texts(_level0, 1), _UNIT), False)
     found = [copies]
     for level in (1, 2):
-        finer = packed.join(_by_text(refine), ["doc", "tie"]).select("doc", "tie", "packed", "places").mapInArrow(_finer(level), _UNIT)
+        finer = packed.join(_by_text(refine), ["doc", "tie"]).select("doc", "tie", "packed", "places").mapInArrow(over_texts(_finer(level), "packed"), _UNIT)
         copies, refine = _resolve(finer, level == 2)
         found.append(copies)
     return packed, _by_text(found[0].union(found[1]).union(found[2]))
@@ -278,7 +282,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Further columns are ignored. An empty table gives an empty result.
     """
     packed, places = _spans(docs)
-    return packed.join(places, ["doc", "tie"], "left").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return packed.join(places, ["doc", "tie"], "left").mapInArrow(over_texts(_digests, "packed"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
@@ -289,9 +293,10 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     A null text stays null.
     """
     packed, places = _spans(docs)
-    changed = packed.join(places, ["doc", "tie"]).mapInArrow(_texts, "doc long, tie long, text string").withColumnsRenamed({"doc": "_doc", "tie": "_with", "text": "_text"}).dropDuplicates(["_doc", "_with"])
-    base = docs.withColumn("_tie", F.xxhash64("text"))
-    out = base.join(changed, (key(base["doc_id"]) == F.col("_doc")) & (F.col("_tie") == F.col("_with")), "left")
-    text = F.coalesce(F.col("_text"), base["text"])
-    new = {"text": text, **({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
-    return out.select(*[new[c].alias(c) if c in new else base[c] for c in docs.columns])
+    changed = packed.join(places, ["doc", "tie"]).mapInArrow(over_texts(_texts, "packed"), "doc long, tie long, text string").dropDuplicates(["doc", "tie"])
+    rows = numbered_columns(docs, list(range(len(docs.columns))))
+    old = F.col(place_of(docs, "text"))
+    out = rows.join(changed, (key(F.col(place_of(docs, "doc_id"))) == F.col("doc")) & (F.xxhash64(old) == F.col("tie")), "left")
+    text = F.coalesce(F.col("text"), old)
+    new = {"text": text, "n_chars": F.char_length(text)}
+    return out.select(*[new[c.lower()].cast(docs.schema[k].dataType).alias(f"_in{k}") if c.lower() in new else f"_in{k}" for k, c in enumerate(docs.columns)]).toDF(*docs.columns)
