@@ -256,7 +256,7 @@ def _marked(docs: DataFrame) -> DataFrame:
     ids = members.select(F.col("doc").alias("node")).distinct()
     ids = stage(classes.join(ids, "node", "left_semi").select(F.col("first.doc").alias("of"), F.col("first.tie").alias("tie"), F.col("node").alias("doc")))
     texts = source.select("doc", "text", "tie").mapInArrow(over_texts(_packed, 1), "of long, tie long, packed binary")
-    texts = stage(texts.join(ids, ["of", "tie"]).select("doc", "packed").dropDuplicates(["doc"]))
+    texts = stage(texts.join(ids.hint("merge"), ["of", "tie"]).select("doc", "packed").dropDuplicates(["doc"]))
     fits = f"100 * least(n, pn) >= {SIMILAR_PERCENT} * greatest(n, pn)"
     pivots = stage(members.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("p")).select("bucket", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn")))
     rest = members.join(pivots, "bucket").where("doc <> pivot")
