@@ -63,13 +63,15 @@ def candidate_ambiguity(spark, d):
     return prints.join(groups, "f").select("doc_id", kind.alias("outcome"), F.when(F.col("n") == 2, F.col("a") + F.col("b") - F.col("doc_id")).alias("match_id"))
 
 
-@query("""WITH t AS (SELECT p_partkey, p_size, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9+#.]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM part)
-SELECT a.p_partkey AS one, b.p_partkey AS other, len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) AS overlap FROM t a JOIN t b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) >= 0.6""")
+@query("""WITH t AS (SELECT p_type, count(*) AS n, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9+#.]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM part GROUP BY 1)
+SELECT a.p_type AS one, b.p_type AS other, a.n * b.n AS pairs, len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) AS overlap FROM t a JOIN t b ON a.p_type < b.p_type WHERE len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) >= 0.6""")
 def token_overlap(spark, d):
-    rows = table(spark, d, "part").select("p_size", F.col("p_partkey").alias("k"), text.terms(F.col("p_type")).alias("w"))
-    a, b = (rows.select("p_size", F.col("k").alias(n), F.col("w").alias(f"w_{n}")) for n in ("one", "other"))
-    share = text.overlap(F.col("w_one"), F.col("w_other"))
-    return a.join(b, "p_size").where("one < other").withColumn("overlap", share).where("overlap >= 0.6").select("one", "other", "overlap")
+    """Different types meet through a word that they share; parts are counted, not paired."""
+    rows = table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n")).withColumn("w", text.terms(F.col("p_type")))
+    words = rows.select("p_type", "n", F.size("w").alias("size"), F.explode("w").alias("word"))
+    a, b = (words.select("word", F.col("p_type").alias(k), F.col("n").alias(f"n_{k}"), F.col("size").alias(f"s_{k}")) for k in ("one", "other"))
+    met = a.join(b, "word").where("one < other").groupBy("one", "other").agg(F.count("*").alias("both"), F.max(F.col("n_one") * F.col("n_other")).alias("pairs"), F.max(F.greatest("s_one", "s_other")).alias("most"))
+    return met.select("one", "other", "pairs", (F.col("both") / F.col("most")).alias("overlap")).where("overlap >= 0.6")
 
 
 @query("""WITH q AS (SELECT page_id, url, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages),
@@ -154,10 +156,12 @@ def display_representative(spark, d):
 @query("""SELECT event_id, EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'error' AND b.event_id <> a.event_id AND b.ts <= a.ts) AS prior_removed FROM events a""")
 def prior_removed_flag(spark, d):
     events = table(spark, d, "events")
-    removed = events.where("event_type = 'error'").groupBy(F.col("user_id").alias("u")).agg(F.min(F.struct("ts", "event_id")).alias("first"), F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("every"))
-    first, second = F.col("every")[0], F.try_element_at("every", F.lit(2))
-    other = F.when(first["event_id"] == F.col("event_id"), second["ts"]).otherwise(first["ts"])
-    return events.join(removed.drop("first"), F.col("user_id") == F.col("u"), "left").select("event_id", F.coalesce(other <= F.col("ts"), F.lit(False)).alias("prior_removed"))
+    errors = events.where("event_type = 'error'").select(F.col("user_id").alias("u"), "ts", "event_id")
+    two = errors.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy("ts", "event_id"))).where("k <= 2")
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    removed = two.groupBy("u").agg(of(1, "ts").alias("t1"), of(1, "event_id").alias("e1"), of(2, "ts").alias("t2"))
+    other = F.when(F.col("e1") == F.col("event_id"), F.col("t2")).otherwise(F.col("t1"))
+    return events.join(removed, F.col("user_id") == F.col("u"), "left").select("event_id", F.coalesce(other <= F.col("ts"), F.lit(False)).alias("prior_removed"))
 
 
 @query("""SELECT event_id, CAST(errors_in_50 AS BIGINT) AS errors_in_50, run >= 5 OR errors_in_50 >= 10 AS tripped FROM (SELECT *, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, grp ORDER BY ts, event_id) AS run FROM (SELECT event_id, user_id, ts, event_type = 'error' AS e, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS errors_in_50, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM events))""")

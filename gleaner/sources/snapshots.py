@@ -1,7 +1,8 @@
 """Tables as versions: each change writes a new folder, and a pointer names the one that counts.
 
-A reader sees a whole version or the one before; a writer that fails leaves the pointer as it was. One
-writer at a time: a second one that read the same version finds its number taken and fails.
+A reader sees a whole version or the one before; a writer that fails leaves the pointer as it was. The
+pointer of version n is a file named n that can be created once, so of two writers that read the same
+version the second finds its number taken and fails. A pointer that is still empty names no version.
 """
 
 from __future__ import annotations
@@ -27,8 +28,16 @@ class Snapshots:
         top = self._path(f"{self.path}/_versions")
         if not self._files.exists(top):
             return []
-        names = (s.getPath().getName() for s in self._files.listStatus(top))
-        return sorted((int(n.split("-", 1)[0]), n.split("-", 1)[1]) for n in names)
+        found = ((int(s.getPath().getName()), self._pointed(s.getPath())) for s in self._files.listStatus(top) if s.getPath().getName().isdigit())
+        return sorted((n, folder) for n, folder in found if folder)
+
+    def _pointed(self, pointer) -> str:
+        """The folder that a pointer names."""
+        stream = self._files.open(pointer)
+        try:
+            return bytes(stream.readNBytes(64)).decode()
+        finally:
+            stream.close()
 
     def read(self, version: int | None = None) -> DataFrame:
         known = dict(self.versions())
@@ -46,9 +55,22 @@ class Snapshots:
         rows.select(*(F.col(f.name).cast(f.dataType) for f in self.schema)).write.parquet(f"{self.path}/{folder}")
         if max([n for n, _ in self.versions()], default=0) != last:
             raise RuntimeError("another writer was first")
-        self._files.create(self._path(f"{self.path}/_versions/{last + 1:08d}-{folder}"), False).close()
+        self._point(f"{self.path}/_versions/{last + 1:08d}", folder)
         return last + 1
 
+    def _point(self, pointer: str, folder: str) -> None:
+        """Make a pointer that names a folder; of two writers of one version the file system lets one create it."""
+        try:
+            stream = self._files.create(self._path(pointer), False)
+        except Exception as error:
+            if "exist" in str(error).lower():
+                raise RuntimeError("another writer was first") from None
+            raise
+        try:
+            stream.write(folder.encode())
+        finally:
+            stream.close()
+
     def insert(self, new: DataFrame, key: str, order: list[Column]) -> int:
         return self.commit(insert_if_absent(self.read(), new, key, order))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import re
+import tempfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,6 +18,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset a temporary one serves a local master, as in tests;
+    on a cluster, whose machines share no such folder, that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+    return base.rstrip("/")
+
+
 def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
     """A catalog table, or no rows of its schema where it doesn't exist."""
     return spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)

@@ -1,13 +1,15 @@
 """Operators on small cases whose results are known."""
 
+import difflib
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from gleaner.functions import scoring, text, urls
+from gleaner.functions.similar import likeness
 from gleaner.operators.keyed import first_of_two_keys, overlay, page
 from gleaner.plans import evaluation, marts
-from gleaner.plans.queries_flow import posting_in_json_ld, similarity
+from gleaner.plans.queries_flow import posting_in_json_ld
 from gleaner.sources.tables import html_text, mail
 
 
@@ -98,7 +100,32 @@ def test_text_sources(spark, tmp_path):
     assert html_text('<a href="http://x/1">b</a><a href="http://x/1">c</a>')[1] == ["http://x/1"]
     assert posting_in_json_ld('<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"t","description":"<b>a</b> b"}]}</script>') == ("t", "a b")
     assert posting_in_json_ld("<script type='application/ld+json'>{bad</script>") == (None, None)
-    assert similarity("Data Engineer II", "data engineer") >= 2 / 3 and similarity("", "x") == 0
     (tmp_path / "m.eml").write_bytes(b"Message-ID: <1@x>\r\nSubject: Jobs\r\nFrom: a@b.c\r\nContent-Type: text/html\r\n\r\n<p>Hi</p><a href='http://j/1'>x</a>")
     row = mail(spark, str(tmp_path)).head()
     assert (row.message_id, row.subject, row.links) == ("<1@x>", "Jobs", ["http://j/1"]) and "Hi" in row.text
+
+
+def test_likeness_against_difflib(spark):
+    """Every pair of some names, compared with the definition."""
+    names = ["data engineer", "data engineer ii", "engineer data", "date engineer", "cook", "", None, "a b c d", "a b", "  cook "]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").withColumn("s", likeness(F.col("a"), F.col("b")))
+    for r in df.collect():
+        a, b = (r.a or "").strip(), (r.b or "").strip()
+        if not a or not b:
+            assert r.s is None
+        else:
+            x, y = set(a.split()), set(b.split())
+            want = 1.0 if a == b else max(len(x & y) / max(len(x), len(y)), difflib.SequenceMatcher(None, a, b).ratio())
+            assert abs(r.s - want) < 1e-12, (a, b)
+
+
+def test_keys_that_are_null_or_hot(spark):
+    rows = [(k, "hot" if k % 3 == 0 else None if k % 3 == 1 else f"x{k % 7}", None if k % 2 else f"y{k % 5}") for k in range(90)]
+    df = spark.createDataFrame(rows, "k long, one string, two string")
+    kept, ones, twos = [], set(), set()
+    for k, one_, two in rows:
+        if one_ not in ones and two not in twos:
+            kept.append(k)
+            ones |= {one_} - {None}
+            twos |= {two} - {None}
+    assert sorted(r.k for r in first_of_two_keys(df, "one", "two", ["k"]).collect()) == kept

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.sources.alerts import cards, postings
+from gleaner.sources.alerts import postings
 from gleaner.sources.snapshots import Snapshots
 from gleaner.sources.tables import enabled, table_or_empty, with_columns
 from gleaner.streaming.ingest import ingest
@@ -29,13 +29,27 @@ def test_versions(spark, tmp_path):
 
 
 def test_alerts(spark):
-    html = '<a href="https://www.linkedin.com/comm/jobs/view/data-engineer-42?x">Data Engineer\nAcme · Austin, TX\nEasy Apply\n$100K - $120K/yr</a><a href="/jobs/view/42">View job</a><a href="/jobs/view/7">Only title</a>'
-    row = cards(html, None)
-    assert [r[1:6] for r in row] == [("42", "Data Engineer", "Acme", "Austin, TX", "$100K - $120K/yr")]
+    html = '<a href="https://www.linkedin.com/comm/jobs/view/data-engineer-42?x">Data Engineer<br>Acme · Austin, TX<p>Easy Apply</p>$100K - $120K/yr</a><a href="/jobs/view/42">View job</a><a href="/jobs/view/7">Only title</a><a href="/jobs/view/9">Cook<br>Promoted<br>Diner &amp; Co<br>Rome</a>'
     text = "Analyst\nBeta\nParis\nView: https://www.linkedin.com/jobs/view/8\n"
-    assert [r[1:5] for r in cards(None, text)] == [("8", "Analyst", "Beta", "Paris")] and cards("", "") == []
-    messages = spark.createDataFrame([("m1", html, text), ("m2", None, text), ("m3", None, None)], "message_id string, html string, text string")
-    assert sorted((r.message_id, r.source_job_id) for r in postings(messages).collect()) == [("m1", "42"), ("m2", "8")]
+    messages = spark.createDataFrame([("m1", html, text), ("m2", None, text), ("m3", None, None), ("m4", "", "")], "message_id string, html string, text string")
+    got = {(r.message_id, r.source_job_id): (r.title, r.company_name, r.location, r.salary_text, r.apply_url) for r in postings(messages).collect()}
+    link = "https://www.linkedin.com/jobs/view/"
+    assert got == {
+        ("m1", "42"): ("Data Engineer", "Acme", "Austin, TX", "$100K - $120K/yr", f"{link}42/"),
+        ("m1", "9"): ("Cook", "Diner & Co", "Rome", None, f"{link}9/"),
+        ("m2", "8"): ("Analyst", "Beta", "Paris", None, f"{link}8/"),
+    }
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """The one that comes second between check and commit fails, and nothing of it is read."""
+    one, other = (Snapshots(spark, str(tmp_path / "t"), SCHEMA) for _ in range(2))
+    rows = lambda *r: spark.createDataFrame(list(r), SCHEMA)
+    checked = one.versions
+    monkeypatch.setattr(one, "versions", lambda: checked() if other.versions() else (checked(), other.commit(rows((1, "other"))))[0])
+    with pytest.raises(RuntimeError):
+        one.commit(rows((1, "one")))
+    assert [n for n, _ in other.versions()] == [1] and [tuple(r) for r in other.read().collect()] == [(1, "other")]
 
 
 def test_stream_is_idempotent(spark, tmp_path):
