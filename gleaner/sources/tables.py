@@ -6,6 +6,7 @@ import email
 import email.policy
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: what several steps use is worked out once, and a lost
+    executor costs one step. The files lie below the folder for the application to clear."""
+    path = f"{shared_folder(df.sparkSession)}/gleaner-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
     """A catalog table, or no rows of its schema where it doesn't exist."""
     return spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)
