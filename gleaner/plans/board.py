@@ -269,10 +269,22 @@ def scoring_queue(t: Tables, resume: str, model: str | None, prompt: str, screen
     return out.where(is_reviewable(F.lit(False))).withColumnRenamed("match_score", "rule_score")
 
 
+def fitting_class(jobs: DataFrame) -> DataFrame:
+    """jobs with title_classification and matched_pattern. Different titles are few: each is classified once."""
+    known = jobs.select("title").distinct().withColumn("_normal", titles.normal(F.col("title")))
+    known = known.withColumn("_class", titles.classified(F.col("title"), F.col("_normal")))
+    known = known.select(F.col("title").alias("_title"), F.col("_class.category").alias("title_classification"), F.col("_class.matched_pattern").alias("matched_pattern"))
+    return jobs.join(known, F.col("title").eqNullSafe(F.col("_title")), "left").drop("_title")
+
+
 def fitting(jobs: DataFrame) -> DataFrame:
     """jobs but for titles outside the lane."""
-    known = jobs.withColumn("_normal", titles.normal(F.col("title")))
-    return known.withColumn("title_classification", titles.classified(F.col("title"), F.col("_normal"))["category"]).where("title_classification <> 'FILTERED_OUT'").drop("_normal")
+    return fitting_class(jobs).where("title_classification <> 'FILTERED_OUT'")
+
+
+def queue_ranks(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first rows in an order with their queue_rank, from 1. Tasks hand on only so many rows each."""
+    return rows.orderBy(*order).limit(most).withColumn("queue_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def screening_queue(t: Tables, resume: str, screen: str) -> DataFrame:

@@ -43,6 +43,8 @@ def test_priorities(spark):
     df = spark.createDataFrame(rows, JOB).select("*", postings.enrichment_priority().alias("p"), postings.fit_priority(F.col("has_current_complete_ai_assessment")).alias("f"), postings.review_bucket(F.lit(True)).alias("b"))
     got = df.collect()
     assert [r.p.score for r in got] == [40 + 30 + 20 + 10 + 15 + 20 + 10 + 5, -35 + 15 + 0 - 20 - 20 - 25, 40 - 100 - 35 + 10 + 8]
+    alone = spark.createDataFrame([rows[0][:6] + (None,) + rows[0][7:]], JOB).select(postings.enrichment_priority().alias("p")).head()  # who never waited gets no bonus for it
+    assert alone.p.score == got[0].p.score - 10 and "waiting" not in alone.p.reason
     assert [r.p.tier for r in got] == ["Tier 1", "Lowest priority", "Lowest priority"]
     assert got[0].p.reason == "new, strong title, recent <= 7d, not AI scored, no JD, never attempted, waiting 7d +10, rule +5"
     assert [r.f.label for r in got] == ["Medium", "High", "Mismatch"] and [r.b for r in got] == ["needs_review", "recommended", "low_fit"]
