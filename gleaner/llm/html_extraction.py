@@ -30,7 +30,7 @@ from gleaner.llm.common import over_texts
 
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 48, 24, 8, 24
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
-PAGES, EPOCHS, BATCH, SEED = 1600, 6, 20, 11
+PAGES, EPOCHS, BATCH, SEED = 2400, 8, 32, 11
 
 _BLOCK_TAGS = frozenset("html body article section nav header footer aside main div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog center hgroup menu label button select option optgroup iframe head".split())
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
@@ -331,6 +331,10 @@ _SAID = {
 }
 
 
+#: Marks that say nothing, on main parts and others alike.
+_NEUTRAL = "container row col md lg grid box wrap inner outer left right page block unit clearfix layout cell span fluid default top wide".split()
+
+
 def _generated(r: random.Random) -> tuple[str, set[str]]:
     """A page, and its main blocks; every block is a text of its own."""
     parts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzéüñßø", k=r.randint(1, 3))) for _ in range(40)]
@@ -353,7 +357,20 @@ def _generated(r: random.Random) -> tuple[str, set[str]]:
         name, _, mark = spec.partition(".")
         kind = "id" if r.random() < 0.3 else "class"
         extra = r.choice(["", "", "-wrap", " box", "-1", "_inner", " clearfix"])
-        return f"<{name} {kind}=\"{mark}{extra}\">{inside}</{name}>" if mark else f"<{name}>{inside}</{name}>"
+        said = f"{mark}{extra}" if mark else ""
+        if r.random() < 0.25:
+            said = f"{neutral()} {said}" if r.random() < 0.7 else f"{said} {neutral()}"
+        return f"<{name} {kind}=\"{said.strip()}\">{inside}</{name}>" if said else f"<{name}>{inside}</{name}>"
+
+    def neutral() -> str:
+        """Marks without a meaning: of layouts, or letters in any language."""
+        return r.choice([f"{r.choice(_NEUTRAL)}-{r.choice(_NEUTRAL)}-{r.randrange(12)}", r.choice(_NEUTRAL), "".join(r.choices(parts, k=2))])
+
+    def layers(inside: str) -> str:
+        """Some meaningless elements around a part."""
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3]) if layered else 0):
+            inside = f"<div class=\"{neutral()}\">{inside}</div>" if r.random() < 0.8 else f"<div>{inside}</div>"
+        return inside
 
     def link(t: str) -> str:
         return f'<a href="/{r.randrange(99)}">{t}</a>'
@@ -381,6 +398,7 @@ def _generated(r: random.Random) -> tuple[str, set[str]]:
         main.add(t)
         return t
 
+    layered = r.random() < 0.4
     body = []
     title = kept(text(r.randrange(2, 12)))
     if r.random() < 0.8:
@@ -398,7 +416,10 @@ def _generated(r: random.Random) -> tuple[str, set[str]]:
         elif x < 0.91:
             body.append(f"<blockquote>{kept(text(r.randrange(8, 40)))}</blockquote>")
         elif x < 0.94:
-            body.append("<table>" + "".join(f"<tr><td>{kept(text(r.randrange(1, 5)))}</td><td>{kept(text(2))}</td></tr>" for _ in range(r.randrange(1, 4))) + "</table>")
+            head = f"<tr><th>{kept(text(1))}</th><th>{kept(text(1))}</th></tr>" if r.random() < 0.4 else ""
+            body.append("<table>" + head + "".join(f"<tr><td>{kept(text(r.randrange(1, 5)))}</td><td>{kept(text(2))}</td></tr>" for _ in range(r.randrange(1, 4))) + "</table>")
+        elif x < 0.95:
+            body.append(f"<pre>{kept(text(r.randrange(2, 12)))}</pre>" if r.random() < 0.5 else f"<figure><figcaption>{kept(text(r.randrange(2, 12)))}</figcaption></figure>")
         else:
             body.append(junk(r.choice(["advert", "side", "notice", "share"])))
     if r.random() < 0.3:
@@ -406,10 +427,17 @@ def _generated(r: random.Random) -> tuple[str, set[str]]:
     if r.random() < 0.25:
         body.append(junk("comment"))
     inside = wrap(r.choice(_MAIN), "".join(body))
+    if r.random() < 0.08:
+        inside = "".join(body)  # an article without an element of its own
     if r.random() < 0.3:
-        inside = wrap(r.choice(["div.container", "div.wrapper", "main", "div"]), inside + (junk("side") if r.random() < 0.5 else ""))
-    before = [junk(k) for k in ("header", "menu", "notice", "advert", "form", "side") if r.random() < 0.45]
-    after = [junk(k) for k in ("comment", "side", "advert", "share", "form", "notice", "menu", "footer") if r.random() < 0.45]
+        side = junk("side") if r.random() < 0.5 else junk("menu") if r.random() < 0.2 else ""
+        inside = wrap(r.choice(["div.container", "div.wrapper", "main", "div"]), layers(inside) + layers(side) if r.random() < 0.7 else layers(side) + layers(inside))
+    elif r.random() < 0.15:
+        cells = [f"<td class=\"{r.choice(['menu', 'nav', 'side', neutral()])}\">{junk(r.choice(['menu', 'side']))}</td>", f"<td class=\"{neutral()}\">{inside}</td>" if r.random() < 0.7 else f"<td>{inside}</td>"]
+        inside = "<table><tr>" + "".join(cells if r.random() < 0.7 else cells[::-1]) + "</tr></table>"
+    inside = layers(inside)
+    before = [layers(junk(k)) for k in ("header", "menu", "notice", "advert", "form", "side") if r.random() < 0.45]
+    after = [layers(junk(k)) for k in ("comment", "side", "advert", "share", "form", "notice", "menu", "footer") if r.random() < 0.45]
     page = "<html><head><title>x</title></head><body>" + "".join(before) + inside + "".join(after)
     return page + ("</body></html>" if r.random() < 0.9 else ""), main
 
