@@ -23,4 +23,4 @@ def query(sql: str | None = None):
     return add
 
 
-from gleaner.plans import queries_board, queries_cases, queries_core, queries_domain, queries_flow, queries_marts  # noqa: E402,F401
+from gleaner.plans import queries_board, queries_cases, queries_core, queries_domain, queries_flow, queries_marts, queries_more  # noqa: E402,F401

@@ -53,6 +53,25 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], version: list[
     return first_per_key(table.unionByName(changes), keys, version)
 
 
+def counted_upsert(table: DataFrame, attempts: DataFrame, key: str, count: str, version: list[Column]) -> DataFrame:
+    """For each key its last row of table and attempts, with count raised by the number of attempts there were."""
+    made = attempts.groupBy(key).agg(F.count("*").alias("_more"))
+    before = table.select(F.col(key).alias("_key"), F.col(count).alias("_before"))
+    last = first_per_key(table.unionByName(attempts, allowMissingColumns=True), [key], version)
+    out = last.join(made, key, "left").join(before, F.col(key) == F.col("_key"), "left")
+    total = (F.coalesce("_before", F.lit(0)) + F.coalesce("_more", F.lit(0))).cast(table.schema[count].dataType)
+    return out.withColumn(count, total).select(*table.columns)
+
+
+def guarded_update(table: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """table with column set from changes (key, expected, value) where it still is as expected, null included;
+    changed tells which rows those are. Several changes of one key are an error of the caller's."""
+    changes = changes.select(F.col(key).alias("_key"), "expected", "value")
+    out = table.join(changes, F.col(key) == F.col("_key"), "left")
+    hit = F.col("_key").isNotNull() & F.col(column).eqNullSafe(F.col("expected"))
+    return out.withColumn("changed", hit).withColumn(column, F.when(hit, F.col("value")).otherwise(F.col(column))).select(*table.columns, "changed")
+
+
 def replace_keys(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """table without the keys of changes, and changes: delete and insert in one."""
     return table.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)

@@ -367,3 +367,19 @@ def metrics(board: DataFrame) -> DataFrame:
         F.count("*").alias("reviewable_jobs"), *(n(c("application_status") == s, f"{s}_jobs") for s in ("new", "applied", "removed")),
         n(state("NEEDS_ENRICHMENT"), "needs_enrichment"), n(state("FULL_JD"), "full_jd"), n(state("PARTIAL_JD"), "partial_jd"), n(state("ENRICHMENT_REJECTED"), "rejected_enrichment"), n(c("ai_score").isNotNull(), "ai_scored"),
     )
+
+
+def status_changes(jobs: DataFrame, record: str, status: str, at: Column) -> DataFrame:
+    """The status rows that a decision on one record writes: one for every record of the same posting."""
+    if status not in ("new", "applied", "removed"):
+        raise ValueError("a status is new, applied or removed")
+    target = jobs.where(F.col("record_key") == record).select("exact_posting_key").distinct()
+    return jobs.join(F.broadcast(target), "exact_posting_key", "left_semi").select("record_key", F.lit(status).alias("status"), at.alias("updated_at"))
+
+
+def operation_metrics(raw: DataFrame, attempts: DataFrame, queue: DataFrame) -> DataFrame:
+    """name and n: raw and different postings, postings to be scored, attempts by status."""
+    jobs = raw.agg(F.count("*").alias("a"), F.count_distinct("exact_posting_key").alias("b"))
+    rows = jobs.select(F.inline(F.array(F.struct(F.lit("raw_jobs").alias("name"), F.col("a").alias("n")), F.struct(F.lit("exact_postings").alias("name"), F.col("b").alias("n")))))
+    tried = attempts.groupBy(F.concat(F.lit("attempts_"), F.col("status")).alias("name")).agg(F.count("*").alias("n"))
+    return rows.unionByName(tried).unionByName(queue.agg(F.count("*").alias("n")).select(F.lit("ai_score_eligible").alias("name"), "n"))

@@ -30,39 +30,12 @@ def word_count_filter(spark, d):
     return table(spark, d, "documents").where(n >= 80).select("doc_id", n.cast("long").alias("n_words"))
 
 
-@query("""SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'NEEDS_ENRICHMENT' WHEN n >= 80 AND (regexp_matches(lower(text), '(responsibilities|requirements|qualifications)') OR n >= 200) THEN 'FULL' WHEN n >= 20 THEN 'PARTIAL' ELSE 'NEEDS_ENRICHMENT' END AS state
-FROM (SELECT doc_id, text, len(regexp_split_to_array(trim(text), '\\s+')) AS n FROM documents)""")
-def full_text_quality(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.quality_state(F.col("text")).alias("state"))
-
-
-TITLE_RULES = [(r"\bpromo\b.*\bnickel\b", "excluded", 10), (r"\beconomy\b.*\b(brass|copper)\b", "strong", 92), (r"\b(standard|large)\b", "strong", 88), (r"\b(tin|steel)\b", "possible", 65)]
-
-
-@query("""SELECT p_partkey, t AS normal_title, CASE WHEN regexp_matches(t, '\\bpromo\\b.*\\bnickel\\b') THEN 'excluded' WHEN regexp_matches(t, '\\beconomy\\b.*\\b(brass|copper)\\b') THEN 'strong' WHEN regexp_matches(t, '\\b(standard|large)\\b') THEN 'strong' WHEN regexp_matches(t, '\\b(tin|steel)\\b') THEN 'possible' ELSE 'default' END AS label,
-CASE WHEN regexp_matches(t, '\\bpromo\\b.*\\bnickel\\b') THEN 10 WHEN regexp_matches(t, '\\beconomy\\b.*\\b(brass|copper)\\b') THEN 92 WHEN regexp_matches(t, '\\b(standard|large)\\b') THEN 88 WHEN regexp_matches(t, '\\b(tin|steel)\\b') THEN 65 ELSE 50 END AS score
-FROM (SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(lower(trim(p_type)), '&', ' and '), '[()\\[\\]{}|/,:;._]+', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM part)""")
-def title_classifier(spark, d):
-    title = scoring.normal_title(F.col("p_type"))
-    found = scoring.classify(F.col("normal_title"), TITLE_RULES, ("default", 50))
-    return table(spark, d, "part").select("p_partkey", title.alias("normal_title")).withColumn("c", found).select("p_partkey", "normal_title", "c.label", "c.score")
-
-
 @query("""SELECT fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')))) AS fingerprint FROM documents) GROUP BY 1 HAVING count(*) > 1""")
 def content_fingerprint_dups(spark, d):
     prints = table(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("fingerprint"))
     return prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query("""WITH p AS (SELECT doc_id, lang, sha256(lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')))) AS f FROM documents), s AS (SELECT f, count(*) AS n, count(DISTINCT lang) AS k, min(doc_id) AS a, max(doc_id) AS b FROM p GROUP BY 1)
-SELECT doc_id, CASE WHEN n = 1 THEN 'none' WHEN n = 2 THEN 'single' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 2 THEN a + b - doc_id END AS match_id FROM p JOIN s USING (f)""")
-def candidate_ambiguity(spark, d):
-    prints = table(spark, d, "documents").select("doc_id", text.fingerprint(F.col("text")).alias("f"))
-    groups = prints.groupBy("f").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    kind = F.when(F.col("n") == 1, "none").when(F.col("n") == 2, "single").otherwise("ambiguous")
-    return prints.join(groups, "f").select("doc_id", kind.alias("outcome"), F.when(F.col("n") == 2, F.col("a") + F.col("b") - F.col("doc_id")).alias("match_id"))
-
-
 @query("""WITH t AS (SELECT p_type, count(*) AS n, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9+#.]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM part GROUP BY 1)
 SELECT a.p_type AS one, b.p_type AS other, a.n * b.n AS pairs, len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) AS overlap FROM t a JOIN t b ON a.p_type < b.p_type WHERE len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) >= 0.6""")
 def token_overlap(spark, d):
@@ -93,51 +66,26 @@ def date_age_buckets(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.age_days(now, F.col("o_orderdate")).alias("age"), scoring.freshness_score(now, F.col("o_orderdate")).alias("freshness"))
 
 
-@query("""WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id, CASE WHEN props IS NULL THEN 'UNKNOWN' WHEN epoch(now - ts) > 24 * 3600 THEN 'UNKNOWN' WHEN event_type = 'error' THEN 'CLOSED' ELSE 'ACTIVE' END AS status FROM events, m""")
-def ttl_status(spark, d):
-    events = table(spark, d, "events")
-    now = events.agg(F.max("ts")).head()[0]
-    old = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) > 24 * 3600 * 1_000_000
-    return events.select("event_id", F.when(F.col("props").isNull() | old, "UNKNOWN").when(F.col("event_type") == "error", "CLOSED").otherwise("ACTIVE").alias("status"))
-
-
-@query("""SELECT o_orderkey, least(100, CASE WHEN o_orderstatus = 'O' THEN 40 ELSE 0 END + CASE WHEN o_totalprice > 150000 THEN 35 ELSE 0 END + CASE WHEN starts_with(o_orderpriority, '1') THEN 30 ELSE 0 END + CASE WHEN o_orderkey % 7 = 0 THEN 10 ELSE 0 END) AS points,
-concat_ws('; ', CASE WHEN o_orderstatus = 'O' THEN 'open' END, CASE WHEN o_totalprice > 150000 THEN 'large' END, CASE WHEN starts_with(o_orderpriority, '1') THEN 'urgent' END, CASE WHEN o_orderkey % 7 = 0 THEN 'seventh' END) AS reasons FROM orders""")
-def additive_priority(spark, d):
-    rules = [(F.col("o_orderstatus") == "O", 40, "open"), (F.col("o_totalprice") > 150000, 35, "large"), (F.col("o_orderpriority").startswith("1"), 30, "urgent"), (F.col("o_orderkey") % 7 == 0, 10, "seventh")]
-    return table(spark, d, "orders").withColumn("p", scoring.points(rules)).select("o_orderkey", "p.points", "p.reasons")
-
-
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice >= 100000 THEN 'recommended' WHEN o_totalprice >= 50000 THEN 'needs_review' ELSE 'low_fit' END AS bucket FROM orders""")
-def bucket_decision(spark, d):
-    price = F.col("o_totalprice")
-    return table(spark, d, "orders").select("o_orderkey", F.when((F.col("o_orderstatus") == "F") & (price >= 100000), "recommended").when(price >= 50000, "needs_review").otherwise("low_fit").alias("bucket"))
-
-
-@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'DONE' WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 'RETRY' WHEN o_orderpriority = '1-URGENT' THEN 'QUEUED' ELSE 'WAITING' END AS state FROM orders""")
-def pipeline_state(spark, d):
-    returned = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")).distinct()
-    out = table(spark, d, "orders").join(returned, F.col("o_orderkey") == F.col("k"), "left")
-    return out.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "DONE").when(F.col("k").isNotNull(), "RETRY").when(F.col("o_orderpriority") == "1-URGENT", "QUEUED").otherwise("WAITING").alias("state"))
+_WORDS = lambda c: f"string_split(trim(regexp_replace(lower({c}), '[^a-z0-9+#.]+', ' ', 'g')), ' ')"
+_HAS = lambda w: f"contains(' ' || lower(p_type) || ' ', ' ' || {w} || ' ')"
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, s AS score, CASE WHEN s >= 75 AND l_linestatus = 'F' THEN 'apply' WHEN s >= 50 THEN 'review' ELSE 'skip' END AS recommendation FROM (SELECT *, CAST(round_even(l_quantity * 0.5 + l_discount * 100 * 0.25 + l_linenumber * 10 * 0.25, 0) AS INTEGER) AS s FROM lineitem)""")
-def weighted_score_half_even(spark, d):
-    score = scoring.overall([F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_linenumber") * 10], [0.5, 0.25, 0.25])
-    out = table(spark, d, "lineitem").withColumn("score", score)
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", "score", scoring.recommendation(F.col("score"), F.col("l_linestatus") == "F").alias("recommendation"))
-
-
-@query()
+@query(f"""WITH s(search_id, target, musts, others, excluded) AS (VALUES {", ".join(f"('{a}', '{b}', {list(c)}::VARCHAR[], {list(e)}::VARCHAR[], {list(f)}::VARCHAR[])" for a, b, c, e, f in SEARCHES)}),
+r AS (SELECT p_partkey, search_id, CASE WHEN lower(p_type) = lower(target) THEN 45 WHEN {_HAS("lower(target)")} THEN 40 WHEN len(list_filter({_WORDS("target")}, lambda w: NOT list_contains({_WORDS("p_type")}, w))) = 0 THEN 32
+  WHEN len(list_intersect({_WORDS("target")}, {_WORDS("p_type")})) / CAST(len({_WORDS("target")}) AS DOUBLE) >= 0.5 THEN CAST(round_even(24 * len(list_intersect({_WORDS("target")}, {_WORDS("p_type")})) / CAST(len({_WORDS("target")}) AS DOUBLE), 0) AS INT) ELSE 0 END AS title_score,
+  CAST(CASE WHEN len(musts) > 0 THEN round_even(10.0 * len(list_filter(musts, lambda w: {_HAS("w")})) / len(musts), 0) ELSE 0 END AS INT) + least(20, 5 * len(list_filter(others, lambda w: {_HAS("w")}))) AS keyword_score, len(list_filter(excluded, lambda w: {_HAS("w")})) AS barred FROM part, s)
+SELECT *, CASE WHEN barred > 0 THEN 0 ELSE least(100, title_score + keyword_score) END AS match_score, barred = 0 AND title_score + keyword_score >= 40 AS is_recommended FROM r""")
 def cross_scoring(spark, d):
-    """Every part against every search; the searches are a few rows of configuration."""
+    """Every part against every search. Different types are few, so these are scored, and parts look theirs up."""
     searches = spark.createDataFrame(list(SEARCHES), "search_id string, target string, every array<string>, some array<string>, excluded array<string>")
-    rows = table(spark, d, "part").select("p_partkey", "p_type").crossJoin(F.broadcast(searches))
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("_type"))
+    rows = parts.select(F.col("_type").alias("p_type")).distinct().crossJoin(F.broadcast(searches))
     t = F.col("p_type")
     barred = F.filter("excluded", lambda w: text.has_term(t, w))
     rows = rows.withColumn("title_score", scoring.title_score(t, F.col("target"))).withColumn("keyword_score", scoring.keyword_score(t, F.col("every"), F.col("some"))).withColumn("barred", F.size(barred))
     total = F.when(F.col("barred") > 0, 0).otherwise(F.least(F.lit(100), F.col("title_score") + F.col("keyword_score")))
-    return rows.select("p_partkey", "search_id", "title_score", "keyword_score", "barred", total.alias("match_score"), ((total >= 40) & (F.col("barred") == 0)).alias("is_recommended"))
+    rows = rows.select("p_type", "search_id", "title_score", "keyword_score", "barred", total.alias("match_score"), ((total >= 40) & (F.col("barred") == 0)).alias("is_recommended"))
+    return parts.join(rows, F.col("_type") == F.col("p_type")).drop("_type", "p_type")
 
 
 @query()
@@ -213,10 +161,3 @@ def spearman(spark, d):
 @query(f"""SELECT lang, count(*) AS n, count(*) FILTER ((quality = 1) = (toxic = 0)) AS agree FROM ({_LABELLED}) GROUP BY 1""")
 def agreement(spark, d):
     return _labelled(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.count_if((F.col("quality") == 1) == (F.col("toxic") == 0)).alias("agree"))
-
-
-@query("""SELECT class, count(*) AS n FROM (SELECT CASE WHEN html IS NULL OR trim(html) = '' THEN 'EMPTY' WHEN contains(lower(html), 'no longer available') THEN 'EXPIRED' WHEN NOT contains(lower(html), '</html>') THEN 'TRUNCATED' WHEN length(html) < 2000 THEN 'SHORT' ELSE 'FULL' END AS class FROM pages) GROUP BY 1""")
-def audit_classes(spark, d):
-    page = F.lower(F.col("html"))
-    kind = F.when(F.col("html").isNull() | (F.trim("html") == ""), "EMPTY").when(page.contains("no longer available"), "EXPIRED").when(~page.contains("</html>"), "TRUNCATED").when(F.char_length("html") < 2000, "SHORT").otherwise("FULL")
-    return table(spark, d, "pages").groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
