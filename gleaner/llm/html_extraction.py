@@ -44,6 +44,8 @@ _CLOSES_P = _BLOCK_TAGS - {"label", "button", "select", "option", "optgroup", "h
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table article section div aside nav main body form".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)""", re.S)
+#: As _TAG after the last > of a page, where no tag can end: so that nothing is searched to the end again and again.
+_CUT = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|()()()<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -80,8 +82,9 @@ _ROOT = Element(None, "", [])
 
 def _ends(page: str, name: str) -> dict[int, int]:
     """Where each raw element of a name ends, by the end of its tag; elements without an end are left out."""
+    last = page.rfind(">") + 1
     if name in _TEXT_ONLY:
-        opens, closes = ([m.end() for m in re.finditer(rx, page, re.I)] for rx in (rf"<{name}(?![\w:-])[^>]*>", rf"</{name}\s*>"))
+        opens, closes = ([m.end() for m in re.compile(rx, re.I).finditer(page, 0, last)] for rx in (rf"<{name}(?![\w:-])[^>]*>", rf"</{name}\s*>"))
         at = np.searchsorted(closes, opens, "right").tolist()
         return {o: closes[k] for o, k in zip(opens, at) if k < len(closes)}
     found, open_ = {}, []
@@ -107,7 +110,7 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
     count: Counter[str] = Counter()
     parts: list[str] = []
     state = {"link": 0, "in": False}
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     closed: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
@@ -142,7 +145,7 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
                     return None
 
     while at < end:
-        found = _TAG.search(page, at)
+        found = (_TAG if at <= last else _CUT).search(page, at)
         if not found:
             add(page[at:])
             break
