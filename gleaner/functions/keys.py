@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Abbreviations in titles, legal forms of companies, words for remote work and for one country.
 TITLE_WORDS = ((r"\bsr\.?\b", "senior"), (r"\bjr\.?\b", "junior"), (r"\bbi\b", "business intelligence"), (r"\beng\b", "engineer"))
@@ -15,12 +16,12 @@ REMOTE, COUNTRY = r"\b(remote|remote only|work from home)\b", r"\b(united states
 MATCHES, MOST_MATCHES = ("excellent", "strong", "partial", "gap"), 10
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x.casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).casefold())
 
