@@ -36,15 +36,15 @@ def content_fingerprint_dups(spark, d):
     return prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
-@query("""WITH t AS (SELECT p_type, count(*) AS n, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_type), '[^a-z0-9+#.]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM part GROUP BY 1)
-SELECT a.p_type AS one, b.p_type AS other, a.n * b.n AS pairs, len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) AS overlap FROM t a JOIN t b ON a.p_type < b.p_type WHERE len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) >= 0.6""")
+@query("""WITH t AS (SELECT p_name, count(*) AS n, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9+#.]+', ' ', 'g')), ' '), lambda x: x <> '')) AS w FROM part GROUP BY 1)
+SELECT a.p_name AS one, b.p_name AS other, a.n * b.n AS pairs, len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) AS overlap FROM t a JOIN t b ON a.p_name < b.p_name WHERE len(list_intersect(a.w, b.w)) / CAST(greatest(len(a.w), len(b.w)) AS DOUBLE) >= 0.5""")
 def token_overlap(spark, d):
-    """Different types meet through a word that they share; parts are counted, not paired."""
-    rows = table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n")).withColumn("w", text.terms(F.col("p_type")))
-    words = rows.select("p_type", "n", F.size("w").alias("size"), F.explode("w").alias("word"))
-    a, b = (words.select("word", F.col("p_type").alias(k), F.col("n").alias(f"n_{k}"), F.col("size").alias(f"s_{k}")) for k in ("one", "other"))
+    """Different names meet through a word that they share; parts are counted, not paired."""
+    rows = table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n")).withColumn("w", text.terms(F.col("p_name")))
+    words = rows.select("p_name", "n", F.size("w").alias("size"), F.explode("w").alias("word"))
+    a, b = (words.select("word", F.col("p_name").alias(k), F.col("n").alias(f"n_{k}"), F.col("size").alias(f"s_{k}")) for k in ("one", "other"))
     met = a.join(b, "word").where("one < other").groupBy("one", "other").agg(F.count("*").alias("both"), F.max(F.col("n_one") * F.col("n_other")).alias("pairs"), F.max(F.greatest("s_one", "s_other")).alias("most"))
-    return met.select("one", "other", "pairs", (F.col("both") / F.col("most")).alias("overlap")).where("overlap >= 0.6")
+    return met.select("one", "other", "pairs", (F.col("both") / F.col("most")).alias("overlap")).where("overlap >= 0.5")
 
 
 @query("""WITH q AS (SELECT page_id, url, regexp_replace(trim(url), '#.*$', '') AS bare FROM pages),
