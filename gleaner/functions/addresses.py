@@ -1,7 +1,8 @@
 """Addresses of postings: canonical forms, redirects, platform ids, identities and verified keys.
 
-An address is taken apart once for each question: the parts are bound to a lambda's variable, since the
-optimizer would repeat the parsing wherever a field of a struct column is used.
+An address is taken apart once for each question: the parts, and what is used of them more than once, are bound
+to a lambda's variable, since the optimizer would repeat the work wherever a field of a struct column is used. A
+pattern only runs where the character that it needs occurs.
 """
 
 from __future__ import annotations
@@ -39,18 +40,42 @@ def _decoded(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(text), text)
 
 
+def _where_has(text: Column, mark: str, value: Column, other: Column | None = None) -> Column:
+    return F.when(text.contains(mark), value).otherwise(F.lit("") if other is None else other)
+
+
+def _trimmed(url: Column) -> Column:
+    return F.trim(F.coalesce(url, F.lit("")))
+
+
+def _place(url: Column) -> Column:
+    """Host and port of a trimmed address, without user."""
+    return let(_where_has(url, "//", F.regexp_extract(url, _SHAPE, 2)), lambda p: _where_has(p, "@", F.regexp_replace(p, "^.*@", ""), p))
+
+
+def _host(place: Column) -> Column:
+    return F.lower(_where_has(place, ":", F.regexp_replace(place, r":\d*$", ""), place))
+
+
+def host_of(url: Column) -> Column:
+    """The host of an address, small, without user and port."""
+    return let(let(_trimmed(url), _place), _host)
+
+
 def taken_apart(url: Column) -> Column:
     """A struct of scheme, host (small, without user and port), port, path and pairs (name and value of each
     parameter, decoded, in order). Null counts as the empty address."""
-    url = F.trim(F.coalesce(url, F.lit("")))
-    part = lambda k: F.regexp_extract(url, _SHAPE, k)
-    place = F.regexp_replace(part(2), "^.*@", "")
-    pairs = F.transform(
-        F.filter(F.split(part(4), "&"), lambda p: p != ""),
-        lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(F.lit(""))).alias("value")),
-    )
-    host = F.lower(F.regexp_replace(place, r":\d*$", ""))
-    return F.struct(F.lower(part(1)).alias("scheme"), host.alias("host"), F.regexp_extract(place, r":(\d+)$", 1).alias("port"), part(3).alias("path"), pairs.alias("pairs"))
+
+    def parts(url: Column, place: Column) -> Column:
+        part = lambda k: F.regexp_extract(url, _SHAPE, k)
+        pairs = F.transform(
+            F.filter(F.split(_where_has(url, "?", part(4)), "&"), lambda p: p != ""),
+            lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("name"), _decoded(F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(F.lit(""))).alias("value")),
+        )
+        port = _where_has(place, ":", F.regexp_extract(place, r":(\d+)$", 1))
+        return F.struct(_where_has(url, ":", F.lower(part(1))).alias("scheme"), _host(place).alias("host"), port.alias("port"), part(3).alias("path"), pairs.alias("pairs"))
+
+    return let(_trimmed(url), lambda text: let(_place(text), lambda place: parts(text, place)))
 
 
 def host_in(host: Column, domains: tuple[str, ...]) -> Column:
@@ -60,14 +85,15 @@ def host_in(host: Column, domains: tuple[str, ...]) -> Column:
 
 def _canonical(u: Column) -> Column:
     """The address of a struct without tracking parameters and fragment: parameters sorted, slashes single, none at the end."""
-    path = F.regexp_replace(F.when(u["path"] == "", "/").otherwise(u["path"]), "/+", "/")
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
+    single = _where_has(u["path"], "//", F.regexp_replace(u["path"], "/+", "/"), u["path"])
+    path = F.when(u["path"] == "", "/").otherwise(let(single, lambda p: F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))))
     kept = F.filter(u["pairs"], lambda p: ~F.lower(p["name"]).isin(*TRACKING) & ~F.lower(p["name"]).startswith("utm_"))
     ordered = F.array_sort(F.transform(kept, lambda p: F.struct(F.lower(p["name"]).alias("a"), p["value"].alias("b"), p["name"].alias("c"))))
     code = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     query = F.array_join(F.transform(ordered, lambda p: F.concat(code(p["c"]), F.lit("="), code(p["b"]))), "&")
     base = F.concat(F.when(u["scheme"] == "", "https").otherwise(u["scheme"]), F.lit("://"), u["host"], F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(""), path)
-    return F.when((u["host"] == "") & (u["path"] == "") & (F.size(u["pairs"]) == 0), "").when(query != "", F.concat(base, F.lit("?"), query)).otherwise(base)
+    bare = F.size(u["pairs"]) == 0
+    return F.when(bare & (u["host"] == "") & (u["path"] == ""), "").when(bare, base).otherwise(let(query, lambda q: F.when(q != "", F.concat(base, F.lit("?"), q)).otherwise(base)))
 
 
 def _is_redirect(u: Column) -> Column:
@@ -85,8 +111,7 @@ def _carried(u: Column) -> Column:
 
     values = F.transform(u["pairs"], lambda p: F.struct(F.lower(p["name"]).isin(*DESTINATIONS).alias("named"), decoded(p["value"]).alias("value")))
     links = F.filter(values, lambda v: v["value"].startswith("http://") | v["value"].startswith("https://"))
-    named = F.filter(links, lambda v: v["named"])
-    return F.coalesce(F.get(named, F.lit(0))["value"], F.get(links, F.lit(0))["value"])
+    return let(links, lambda found: F.coalesce(F.get(F.filter(found, lambda v: v["named"]), F.lit(0))["value"], F.get(found, F.lit(0))["value"]))
 
 
 def canonical(url: Column) -> Column:
@@ -101,7 +126,13 @@ def is_redirect(url: Column) -> Column:
 
 def is_specific(url: Column) -> Column:
     """Whether an address names a single posting."""
-    return let(taken_apart(canonical(url)), _is_specific)
+    return _read(url, lambda text, u, given, specific: specific)
+
+
+def _read(url: Column, body: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """body of an address's canonical form, its parts, its parameter that holds an id, and whether it is specific."""
+    inner = lambda text, u, given: let(_is_specific(u, given), lambda specific: body(text, u, given, specific))
+    return let(canonical(url), lambda text: let(taken_apart(text), lambda u: let(_parameter(u, VERIFIED_JOB_IDS), lambda given: inner(text, u, given))))
 
 
 def platform_id(url: Column) -> Column:
@@ -114,15 +145,16 @@ def with_destination(df: DataFrame, url: str, name: str, depth: int = 3) -> Data
     steps = [f"_{name}_{k}" for k in range(depth)]
     last = url
     for step in steps:
-        df = df.withColumn(step, let(taken_apart(F.col(last)), _carried))
+        df = df.withColumn(step, F.when(F.col(last).isNotNull(), let(taken_apart(F.col(last)), _carried)))
         last = step
     return df.withColumn(name, F.coalesce(*reversed(steps), F.lit(""))).drop(*steps)
 
 
 def _parameter(u: Column, names: tuple[str, ...]) -> Column:
     """Name (as in names) and value of the first of some parameters that has a value; of repeated ones the last counts."""
-    given = lambda n: F.element_at(F.concat(F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("value"))), F.filter(u["pairs"], lambda p: (F.lower(p["name"]) == n) & (p["value"] != ""))), -1)["value"]
-    return F.coalesce(*(F.when(given(n) != "", F.struct(F.lit(n).alias("name"), given(n).alias("value"))) for n in names))
+    known = F.array(*map(F.lit, names))
+    ranked = F.transform(u["pairs"], lambda p, k: F.struct(F.array_position(known, F.lower(p["name"])).alias("rank"), (-k).alias("place"), F.lower(p["name"]).alias("name"), p["value"].alias("value")))
+    return F.array_min(F.filter(ranked, lambda p: (p["rank"] > 0) & (p["value"] != "")))
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -145,11 +177,16 @@ def with_identity(df: DataFrame, source: str = "source", job_id: str = "source_j
     """df with a struct of identity, confidence, identity_type, resolved_url and is_redirect: what a posting is
     known by across runs. The source's own id comes first, then a platform's id, then the address; a redirect
     that carries no address is known by its record alone."""
-    c = {k: f"_{name}_{k}" for k in ("dest", "redirects", "url", "platform")}
-    df = with_destination(df, url, c["dest"]).withColumn(c["redirects"], is_redirect(F.col(url)))
-    df = df.withColumn(c["url"], canonical(F.when(F.col(c["dest"]) != "", F.col(c["dest"])).otherwise(F.col(url))))
-    df = df.withColumn(c["platform"], platform_id(F.col(c["url"])))
-    own, from_, redirects = loose(F.col(job_id)), loose(F.col(source)), F.col(c["redirects"])
+    c = {k: f"_{name}_{k}" for k in ("own", "read", "inner", "dest", "url", "platform")}
+    own, from_, read = F.col(c["own"]), loose(F.col(source)), lambda part: F.col(f"{c['read']}.{part}")
+    # An address is read where the posting has no id of its own, as nothing else needs it.
+    parts = let(taken_apart(F.col(url)), lambda u: F.struct(_carried(u).alias("to"), _is_redirect(u).alias("redirects"), _canonical(u).alias("plain")))
+    df = df.withColumn(c["own"], loose(F.col(job_id))).withColumn(c["read"], F.when(own == "", parts))
+    df = with_destination(df, f"{c['read']}.to", c["inner"], 2)
+    df = df.withColumn(c["dest"], F.when(F.col(c["inner"]) != "", F.col(c["inner"])).otherwise(F.coalesce(read("to"), F.lit(""))))
+    df = df.withColumn(c["url"], F.when(F.col(c["dest"]) != "", canonical(F.col(c["dest"]))).otherwise(read("plain")))
+    df = df.withColumn(c["platform"], F.when(F.col(c["url"]) != "", platform_id(F.col(c["url"]))))
+    redirects = read("redirects")
     known = lambda x: F.concat(from_, F.lit("|"), x)
     by_record = known(F.concat(F.lit("record:"), F.coalesce(F.col(record).cast("string"), F.lit(""))))
 
@@ -167,27 +204,29 @@ def with_identity(df: DataFrame, source: str = "source", job_id: str = "source_j
     return df.withColumn(name, out).drop(*c.values())
 
 
-def _is_specific(u: Column) -> Column:
-    """Whether a canonical address names a single posting."""
+def _is_specific(u: Column, given: Column) -> Column:
+    """Whether a canonical address names a single posting; given is its parameter that holds an id, if any."""
     host, path = u["host"], u["path"]
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
     says = lambda pattern: path.rlike(pattern)
-    last = F.element_at(F.concat(F.array(F.lit("")), parts), -1)
-    return (
-        F.when(_parameter(u, VERIFIED_JOB_IDS).isNotNull(), True)
-        .when(host.contains("greenhouse.io"), says("/jobs/[0-9]+(?:/|$)"))
-        .when(host.contains("lever.co"), F.size(parts) >= 2)
-        .when(host_in(host, ("ashbyhq.com",)), says("/(?:job|jobs)/[^/]+(?:/|$)") | says(f"(?i)^/[^/]+/{UUID}/?$"))
-        .when(host.contains("smartrecruiters.com"), F.size(parts) >= 2)
-        .when(host.contains("icims.com"), says("/jobs/[0-9]+(?:/|$)"))
-        .when(host.contains("workday"), says("/(?:job|jobs)/[^/]+/[^/]+(?:/|$)"))
-        .when(F.regexp_replace(F.lower(path), "/+$", "").isin(*GENERIC_PATHS) | (F.size(parts) < 2), False)
-        .otherwise(last.rlike("[0-9]") | last.rlike("(?i)\\b(req|job|jr|id)[-_]?[0-9a-z]+"))
-    )
+
+    def judged(parts: Column) -> Column:
+        last = F.element_at(F.concat(F.array(F.lit("")), parts), -1)
+        return (
+            F.when(host.contains("greenhouse.io"), says("/jobs/[0-9]+(?:/|$)"))
+            .when(host.contains("lever.co"), F.size(parts) >= 2)
+            .when(host_in(host, ("ashbyhq.com",)), says("/(?:job|jobs)/[^/]+(?:/|$)") | says(f"(?i)^/[^/]+/{UUID}/?$"))
+            .when(host.contains("smartrecruiters.com"), F.size(parts) >= 2)
+            .when(host.contains("icims.com"), says("/jobs/[0-9]+(?:/|$)"))
+            .when(host.contains("workday"), says("/(?:job|jobs)/[^/]+/[^/]+(?:/|$)"))
+            .when((F.size(parts) < 2) | F.regexp_replace(F.lower(path), "/+$", "").isin(*GENERIC_PATHS), False)
+            .otherwise(let(last, lambda x: x.rlike("[0-9]") | x.rlike("(?i)\\b(req|job|jr|id)[-_]?[0-9a-z]+")))
+        )
+
+    return F.when(given.isNotNull(), True).otherwise(let(F.filter(F.split(path, "/"), lambda p: p != ""), judged))
 
 
 def is_third_party(url: Column) -> Column:
-    return let(taken_apart(url)["host"], lambda host: host_in(host, THIRD_PARTIES))
+    return let(host_of(url), lambda host: host_in(host, THIRD_PARTIES))
 
 
 def can_be_trusted(key: Column) -> Column:
@@ -198,11 +237,16 @@ def can_be_trusted(key: Column) -> Column:
 
 def verified_key(url: Column) -> Column:
     """The key that an official address gives, '' where it gives none or belongs to a third party."""
-    return let(canonical(url), lambda text: let(taken_apart(text), lambda u: _verified_key(text, u)))
+    return _read(url, _verified_key)
+
+
+def key_and_specific(url: Column) -> Column:
+    """A struct of key (as verified_key has it) and specific (as is_specific has it): the address is read once."""
+    return _read(url, lambda text, u, given, specific: F.struct(_verified_key(text, u, given, specific).alias("key"), specific.alias("specific")))
 
 
-def _verified_key(text: Column, u: Column) -> Column:
-    host, given, specific = u["host"], _parameter(u, VERIFIED_JOB_IDS), _is_specific(u)
+def _verified_key(text: Column, u: Column, given: Column, specific: Column) -> Column:
+    host = u["host"]
     key = lambda kind, value: F.concat(F.lit(f"{kind}:"), value)
     own = F.coalesce(
         F.when(host.contains("greenhouse.io"), key("greenhouse", F.coalesce(_parameter(u, ("gh_jid",))["value"], _found(text, "/jobs/([0-9]+)")))),
@@ -220,11 +264,11 @@ def _verified_key(text: Column, u: Column) -> Column:
 
 def is_official(url: Column) -> Column:
     """Whether an address lies at a platform whose keys count."""
-    return let(taken_apart(url)["host"], lambda host: ~host_in(host, THIRD_PARTIES) & reduce(lambda a, b: a | b, (host.contains(h) for h in OFFICIAL_HOSTS)))
+    return let(host_of(url), lambda host: ~host_in(host, THIRD_PARTIES) & reduce(lambda a, b: a | b, (host.contains(h) for h in OFFICIAL_HOSTS)))
 
 
 def is_built_in(url: Column) -> Column:
-    return let(taken_apart(url)["host"], lambda host: host_in(host, BUILT_IN))
+    return let(host_of(url), lambda host: host_in(host, BUILT_IN))
 
 
 def is_trusted(key: Column, source: Column, trust: Column, url: Column) -> Column:

@@ -15,7 +15,7 @@ from gleaner.catalog import ORACLE_SQL, QUERIES
 from gleaner.functions import addresses, keys, requirements, scoring, text, titles
 from gleaner.functions.similar import likeness
 from gleaner.plans import evidence, postings
-from gleaner.sources.tables import table
+from gleaner.sources.tables import dealt, table
 
 
 def cases(name: str, rows: list[tuple], run: Callable[[DataFrame], DataFrame]) -> None:
@@ -25,7 +25,7 @@ def cases(name: str, rows: list[tuple], run: Callable[[DataFrame], DataFrame]) -
 
     def query(spark, d):
         made = F.array(*(F.struct(F.lit(n).alias("case_no"), *(F.lit(v).cast("string").alias(c) for c, v in zip(columns, row))) for n, row in enumerate(rows)))
-        parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.explode(made).alias("x")).select("k", "x.*")
+        parts = dealt(table(spark, d, "part").select(F.col("p_partkey").alias("k"))).select("k", F.explode(made).alias("x")).select("k", "x.*")
         filled = parts.select("k", "case_no", *(F.replace(F.col(c), F.lit("{k}"), F.col("k").cast("string")).alias(c) for c in columns))
         return run(filled).select("k", "case_no", F.col("result").cast("string").alias("result"))
 
@@ -92,7 +92,7 @@ cases(
         ("https://www.lensa.com/job/{k}", " # false # false # true # false"),
         (None, " # false # false # false # false"),
     ],
-    lambda df: df.withColumn("key", addresses.verified_key(F.col("a"))).withColumn("result", joined(F.col("key"), addresses.is_specific(F.col("a")) & ~addresses.is_third_party(F.col("a")), addresses.can_be_trusted(F.col("key")), addresses.is_third_party(F.col("a")), addresses.is_official(F.col("a")))),
+    lambda df: df.withColumn("of", addresses.key_and_specific(F.col("a"))).withColumn("third", addresses.is_third_party(F.col("a"))).withColumn("result", joined(F.col("of.key"), F.col("of.specific") & ~F.col("third"), addresses.can_be_trusted(F.col("of.key")), F.col("third"), addresses.is_official(F.col("a")))),
 )
 cases(
     "trusted_keys",

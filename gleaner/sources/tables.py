@@ -19,6 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SHARES = 4  # tasks for each core
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df with its rows dealt out evenly, for steps that take long with each row: a file is read by one task for
+    each of its row groups at most, and small columns of many rows have few of these."""
+    spark = df.sparkSession
+    return df.repartition(max(SHARES * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset a temporary one serves a local master, as in tests;
     on a cluster, whose machines share no such folder, that is an error."""
