@@ -89,24 +89,24 @@ queue AS (SELECT * FROM (SELECT j.record_key, j.exact_key AS exact_posting_key,
   AND (e.decision IS NOT NULL OR j.exact_key NOT IN (SELECT canonical_job_key FROM resume_job_eligibility WHERE prompt_version = 'v1' AND decision = 'exclude'))) WHERE k = 1 AND ({_SHOWN}))"""
 
 
-def _scoring(spark, d):
-    return board.scoring_queue(_tables(spark, d), RESUME, "m1", PROMPT, SCREEN, 20)
+def _scoring(t: board.Tables):
+    return board.scoring_queue(t, RESUME, "m1", PROMPT, SCREEN, 20)
 
 
 @query(f"WITH {_QUEUE} SELECT record_key, exact_posting_key, title, words, rule_score, search_id FROM queue")
 def scoring_queue(spark, d):
-    return _scoring(spark, d).select("record_key", "exact_posting_key", "title", "words", "rule_score", "search_id")
+    return _scoring(_tables(spark, d)).select("record_key", "exact_posting_key", "title", "words", "rule_score", "search_id")
 
 
 @query(f"WITH {_QUEUE} SELECT count(*) AS unscored FROM queue")
 def scoring_queue_size(spark, d):
-    return _scoring(spark, d).agg(F.count("*").alias("unscored"))
+    return _scoring(_tables(spark, d)).agg(F.count("*").alias("unscored"))
 
 
 @query(f"WITH {_QUEUE} SELECT record_key, rule_score, title FROM queue ORDER BY rule_score DESC, title, record_key LIMIT 25")
 def scoring_batch(spark, d):
     """The first postings of the queue: the limit comes after all gates."""
-    return _scoring(spark, d).select("record_key", "rule_score", "title").orderBy(F.desc("rule_score"), "title", "record_key").limit(25)
+    return _scoring(_tables(spark, d)).select("record_key", "rule_score", "title").orderBy(F.desc("rule_score"), "title", "record_key").limit(25)
 
 
 @query(f"""WITH {BOARD} SELECT record_key, exact_posting_key, title FROM (SELECT j.record_key, j.exact_key AS exact_posting_key, j.title, j.source, a.official_url_status, a.official_job_url, row_number() OVER (PARTITION BY j.exact_key ORDER BY coalesce(a.status, '') <> 'resolution_rejected' AND is_described DESC,

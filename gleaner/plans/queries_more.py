@@ -138,7 +138,7 @@ def status_change(spark, d):
 @query(f"""WITH {_QUEUE} SELECT 'raw_jobs' AS name, count(*) AS n FROM jobs UNION ALL SELECT 'exact_postings', count(DISTINCT exact_key) FROM jobs UNION ALL SELECT 'attempts_' || status, count(*) FROM attempts GROUP BY status UNION ALL SELECT 'ai_score_eligible', count(*) FROM queue""")
 def operation_metrics(spark, d):
     t = _tables(spark, d)
-    return board.operation_metrics(t["jobs"], t["attempts"], _scoring(spark, d))
+    return board.operation_metrics(t["jobs"], t["attempts"], _scoring(t))
 
 
 @query(f"""WITH {_PRIORITY}, r AS (SELECT CASE WHEN application_status = 'new' AND kind = 'STRONG_MATCH' THEN CASE WHEN age <= 7 THEN 'Tier 1' ELSE 'Tier 3' END WHEN application_status = 'new' AND kind = 'POSSIBLE_MATCH' THEN CASE WHEN age <= 7 THEN 'Tier 2' ELSE 'Tier 4' END ELSE 'Lowest priority' END AS tier, CAST({_POINTS} AS INT) AS score FROM labelled)

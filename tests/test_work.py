@@ -24,3 +24,9 @@ def test_an_address_is_parsed_once_for_a_question(spark):
     assert df.select(addresses.verified_key(F.col("u"))).head()[0] == "a.com:jobid:4"
     both = df.select(addresses.key_and_specific(F.col("u")).alias("x")).select("x.*").head()
     assert (both.key, both.specific) == ("a.com:jobid:4", True)
+
+
+def test_operation_metrics_prepares_its_tables_once(spark, monkeypatch):
+    made, prepared = [], board.prepared
+    monkeypatch.setattr(board, "prepared", lambda t: made.append(1) or prepared(t))
+    assert QUERIES["operation_metrics"](spark, FOLDER).count() > 3 and len(made) == 1
