@@ -271,8 +271,9 @@ def scoring_queue(t: Tables, resume: str, model: str | None, prompt: str, screen
 
 def fitting_class(jobs: DataFrame) -> DataFrame:
     """jobs with title_classification and matched_pattern. Different titles are few: each is classified once."""
-    known = jobs.select("title").distinct().withColumn("_normal", titles.normal(F.col("title")))
-    known = known.withColumn("_class", titles.classified(F.col("title"), F.col("_normal")))
+    made = addresses.let(titles.normal(F.col("title")), lambda normal: titles.classified(F.col("title"), normal))
+    # The count is always positive; without it a filter on the class would be pushed below the grouping, to every row.
+    known = jobs.groupBy("title").agg(F.count("*").alias("_n")).withColumn("_class", F.when(F.col("_n") > 0, made))
     known = known.select(F.col("title").alias("_title"), F.col("_class.category").alias("title_classification"), F.col("_class.matched_pattern").alias("matched_pattern"))
     return jobs.join(known, F.col("title").eqNullSafe(F.col("_title")), "left").drop("_title")
 

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.sources.tables import table
+from gleaner.sources.tables import dealt, table
 
 _K = "CAST(o_orderkey AS STRING)"
 _C = "CAST(o_custkey AS STRING)"
@@ -77,9 +77,14 @@ ELIGIBILITY = f"""SELECT 'h1' AS resume_hash, {IDENTITY} AS canonical_job_key, C
 TABLES = {"raw_jobs": (RAW_JOBS, "orders"), "job_matches": (JOB_MATCHES, "lineitem"), "resume_job_scores": (SCORES, "orders"), "application_status": (STATUSES, "orders"), "job_enrichment_attempts": (ATTEMPTS, "orders"), "resume_job_eligibility": (ELIGIBILITY, "orders")}
 
 
+#: Those whose rows take long, as their addresses and descriptions are read.
+LONG = ("raw_jobs", "job_enrichment_attempts")
+
+
 def operational(spark: SparkSession, folder: str, name: str) -> DataFrame:
     sql, base = TABLES[name]
-    return spark.sql(sql.replace(f"FROM {base}", "FROM {base}"), base=table(spark, folder, base))
+    rows = table(spark, folder, base)
+    return spark.sql(sql.replace(f"FROM {base}", "FROM {base}"), base=dealt(rows) if name in LONG else rows)
 
 
 def with_sql(*names: str) -> str:

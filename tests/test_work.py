@@ -26,6 +26,17 @@ def test_an_address_is_parsed_once_for_a_question(spark):
     assert (both.key, both.specific) == ("a.com:jobid:4", True)
 
 
+def test_postings_are_dealt_to_all_cores(spark):
+    assert inputs.operational(spark, FOLDER, "raw_jobs").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_titles_are_classified_after_the_grouping(spark):
+    jobs = spark.createDataFrame([("1", "Data Engineer"), ("2", "Data Engineer"), ("3", "Cook - sales analyst"), ("4", None)], "record_key string, title string")
+    plan = optimized(board.fitting(jobs))
+    assert "data" in plan and "RLIKE" in plan and "RLIKE" not in plan[plan.index("Aggregate"):].partition("\n")[2]
+    assert sorted(r.record_key for r in board.fitting(jobs).collect()) == ["1", "2", "4"]
+
+
 def test_operation_metrics_prepares_its_tables_once(spark, monkeypatch):
     made, prepared = [], board.prepared
     monkeypatch.setattr(board, "prepared", lambda t: made.append(1) or prepared(t))
